@@ -187,18 +187,19 @@ def item_windows(rows: list, window: int) -> tuple[list[bytes], list[int], list[
     return list(known), lengths, items
 
 
+WORDS, HITS = "__n_words", "__hits"
 HIT = "array<struct<start:int,stop:int,item_id:long>>"
 
 
 def _searcher(tables):
-    """mapInArrow function: doc_id, text, n_words, hits -> the same with this group's hits added."""
+    """mapInArrow function: the rows again, with this group's hits added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine, lengths, items = tables.value
         hit_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("item_id", pa.int64())]))
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
-            before = batch.column("hits").to_pylist()
+            before = batch.column(HITS).to_pylist()
             n_words = np.zeros(batch.num_rows, np.int32)
             hits: list[list] = [x or [] for x in before]
             for i, j in slices(offsets):
@@ -211,30 +212,30 @@ def _searcher(tables):
                     r = int(row[w])
                     k = w - int(first[r])
                     hits[i + r] += [{"start": k, "stop": k + lengths[p], "item_id": x} for x in items[p]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text"), pa.array(n_words), pa.array(hits, hit_type)],
-                names=["doc_id", "text", "n_words", "hits"],
-            )
+            new = {WORDS: pa.array(n_words), HITS: pa.array(hits, hit_type)}
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names=names)
 
     return run
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """doc_id, text, n_words and all occurrences ``hits`` (word range, item) of benchmark windows."""
+    """``docs`` with the columns __n_words and __hits, all occurrences (word range, item) of benchmark windows."""
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
-    out = docs.select("doc_id", "text", F.lit(0).alias("n_words"), F.expr(f"cast(array() as {HIT})").alias("hits"))
+    out = docs.withColumns({WORDS: F.lit(0), HITS: F.expr(f"cast(array() as {HIT})")})
+    schema = out.schema
     for g in range(groups):
         part = items if groups == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
         patterns, lengths, owners = item_windows([tuple(r) for r in part.collect()], window)
         tables = spark.sparkContext.broadcast((WuManber(patterns), lengths, owners))
-        out = out.mapInArrow(_searcher(tables), f"doc_id long, text string, n_words int, hits {HIT}")
+        out = out.mapInArrow(_searcher(tables), schema)
     return out
 
 
-def covered(hits: str = "hits") -> str:
+def covered(hits: str = HITS) -> str:
     """SQL for the number of words in any of the ranges."""
     return (
         f"aggregate(array_sort({hits}), named_struct('n', 0L, 'to', 0), (a, x) -> named_struct("
@@ -244,11 +245,11 @@ def covered(hits: str = "hits") -> str:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row per document with the digest columns of its contamination."""
-    found = find_windows(docs, benchmark, **options).drop("text")
-    ids = found.withColumn("ids", F.expr("array_sort(transform(array_distinct(filter(hits.item_id, x -> x is not null)), x -> cast(x as string)))"))
+    found = find_windows(docs.select("doc_id", "text"), benchmark, **options).drop("text")
+    ids = found.withColumn("ids", F.expr(f"array_sort(transform(array_distinct(filter({HITS}.item_id, x -> x is not null)), x -> cast(x as string)))"))
     return ids.select(
         "doc_id",
-        F.col("n_words").cast("long").alias("n_words"),
+        F.col(WORDS).cast("long").alias("n_words"),
         F.expr(covered()).alias("n_hit"),
         F.size("ids").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"),
@@ -256,6 +257,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     )
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark window occurs."""
+    return find_windows(docs, benchmark, **options).filter(F.size(HITS) == 0).drop(WORDS, HITS)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items, windows of ten words."""
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

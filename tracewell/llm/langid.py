@@ -210,15 +210,15 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAM
     return Model(samples)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score of every row."""
+def labelled(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with the columns __lang and __score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             pred: list[str] = []
-            score: list[np.ndarray] = []
+            score: list[np.ndarray] = [np.zeros(0)]
             i = 0
             while i < len(texts):
                 j, room = i, 8 << 20
@@ -229,10 +229,21 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 pred += p
                 score.append(s)
                 i = j
-            flat = np.concatenate(score) if score else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(flat, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(np.concatenate(score))], names=[*batch.schema.names, "__lang", "__score"])
+
+    extra = docs.select("*", F.lit("").alias("__lang"), F.lit(0.0).alias("__score")).schema
+    return docs.mapInArrow(run, extra)
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every row."""
+    rows = labelled(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
+    return rows.select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+def identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has a language; ``und`` is rejected."""
+    return labelled(docs, fit(docs)).filter(F.col("__lang") != UNKNOWN).drop("__lang", "__score")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
