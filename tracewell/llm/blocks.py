@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.bytesops import unpacked
+
 ECHO = -1
 MESSAGE = "bucket int, block int, kind int, a binary, b binary, c binary"
 _NAMES = ["bucket", "block", "kind", "a", "b", "c"]
@@ -94,14 +96,6 @@ def bucket_starts(n: int) -> np.ndarray:
     return np.array([(i << 64) // n for i in range(n)], np.uint64)
 
 
-def u64(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint64)
-
-
-def i64(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.int64)
-
-
 def member(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
     """Which values occur in the ascending array."""
     if not len(ascending):
@@ -113,4 +107,4 @@ def member(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
 
 def joined(parts: list[bytes]) -> np.ndarray:
     """The packed 64-bit arrays as one ascending array."""
-    return np.sort(u64(b"".join(parts)))
+    return np.sort(np.concatenate([unpacked(p) for p in parts])) if parts else np.zeros(0, np.uint64)

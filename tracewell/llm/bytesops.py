@@ -31,7 +31,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i (mod 2**64) for i < n."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         for name, base in (("up", BASE), ("down", _INVERSE)):
             x = np.full(size, base, dtype=np.uint64)
             x[0] = 1
@@ -82,7 +82,7 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Runs [i, j) of rows with at most ``limit`` bytes together, or one longer row."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -108,7 +108,12 @@ def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     last[inner - 1] = w[inner - 1]
     start = np.flatnonzero(first)
     stop = np.flatnonzero(last) + 1
-    return start, stop, np.searchsorted(offsets, start, "right") - 1
+    return start, stop, owners(start, offsets)
+
+
+def owners(ascending: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The row that holds each of some ascending places."""
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(ascending, offsets)))
 
 
 def word_hashes(buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -150,4 +155,11 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndar
 
 
 def packed(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values).tobytes()
+    """64-bit values byte plane by byte plane: the planes of sorted keys and small numbers compress well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(raw: bytes | None, kind=np.uint64) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, kind)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(kind).ravel()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.bytesops import mix, prefix_sums, slices, span_hash, text_buffers
+from tracewell.llm.bytesops import mix, owners, prefix_sums, slices, span_hash, text_buffers
 
 UNIT = 48
 BLANK = "▁"
@@ -114,12 +114,13 @@ class Vocabulary:
         lattice = Lattice(self, text, u_start[sample], u_stop[sample])
         chosen = np.full(len(text), -1, np.int32)
         seeds = mix(keys.view(np.uint64) + mix(np.array([seed], np.uint64)))
-        u_row = np.searchsorted(starts[lead > 0], u_start, "right") - 1
         rows_with = np.flatnonzero(lead)
+        bounds = np.append(starts[rows_with], len(text))
+        u_row = owners(u_start, bounds)
         origin = starts[rows_with][u_row]
         lattice.sample(kind, u_start, u_stop, origin, seeds[rows_with][u_row], chosen)
         used = np.flatnonzero(chosen >= 0)
-        per_row = np.bincount(rows_with[np.searchsorted(starts[rows_with], used, "right") - 1], minlength=len(sizes))
+        per_row = np.bincount(rows_with, weights=np.diff(np.searchsorted(used, bounds)), minlength=len(sizes)).astype(np.int64)
         return chosen[used], np.concatenate([[0], np.cumsum(per_row)])
 
     # -- decoding ---------------------------------------------------------------------------

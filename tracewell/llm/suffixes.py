@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import blocks as B
-from tracewell.llm.bytesops import BYTE_CODE, mix, prefix_sums, raw_span_hash, slices, text_buffers
+from tracewell.llm.bytesops import BYTE_CODE, mix, owners, packed, prefix_sums, raw_span_hash, slices, text_buffers, unpacked
 
 THRESHOLD = 50
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20
-CHUNK = 4 << 20
+CHUNK = 1 << 18
 _LAST = np.iinfo(np.int64).max
 
 
@@ -88,10 +88,10 @@ def _analyse(buf, base, offsets, row0, threshold, k, w):
     low = np.uint64((1 << 24) - 1)
     best = sliding_min((gram & ~low) | at.astype(np.uint64), w)  # one for each window start
     anchor = (best & low).astype(np.int64)
-    ends = offsets[1:] - base
-    row = np.searchsorted(offsets[1:], base + np.arange(len(anchor)), "right")
-    inside = np.arange(len(anchor)) + threshold <= ends[np.minimum(row, len(ends) - 1)]
-    where = np.flatnonzero(inside)
+    local = np.clip(offsets - base, 0, n)
+    sizes = np.diff(local)
+    row = np.repeat(np.arange(len(sizes)), sizes)[: len(anchor)]
+    where = np.flatnonzero(np.repeat(local[1:], sizes)[: len(anchor)] >= at[: len(anchor)] + threshold)
     a, r = anchor[where], row[where]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1])
@@ -109,15 +109,16 @@ def windows(data: np.ndarray, first: np.ndarray, last: np.ndarray, threshold: in
     n = last - first + 1
     owner = np.repeat(np.arange(len(n)), n)
     start = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + first[owner]
+    if threshold < 8:
+        loads, eight = range(threshold), data
+    else:  # unaligned loads of eight bytes, the last one overlapping
+        loads = [*range(0, threshold - 8, 8), threshold - 8]
+        eight = np.ndarray(len(data) - 7, np.uint64, np.ascontiguousarray(data), strides=(1,)) if len(data) > 7 else np.zeros(0, np.uint64)
     out = np.zeros(len(start), np.uint64)
-    codes = BYTE_CODE
-    step = 1 << 18
-    for i in range(0, len(start), step):
-        s = start[i : i + step]
-        h = np.zeros(len(s), np.uint64)
-        for j in range(threshold):
-            h = h * np.uint64(0x100000001B3) + codes[data[s + j]]
-        out[i : i + step] = mix(h)
+    for j in loads:
+        out = (out ^ eight[start + j]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    out = mix(out)
     return out, start, owner
 
 
@@ -130,6 +131,10 @@ def least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return keys[head], ids[order][head], order[head]
 
 
+def stacked(got, field: int, kind=np.uint64) -> np.ndarray:
+    return np.concatenate([unpacked(m[field], kind) for m in got])
+
+
 class Passes:
     """What blocks send and buckets answer in each pass."""
 
@@ -146,17 +151,17 @@ class Passes:
     def ask_anchors(self, block, rows, _):
         u = self.load(rows)[3]
         keys = np.unique(u.gram)
-        return [(b, block, 0, keys[s].tobytes(), None, None) for b, s in B.split(keys, self.n)]
+        return [(b, block, 0, packed(keys[s]), None, None) for b, s in B.split(keys, self.n)]
 
     def answer_anchors(self, got):
         every = B.joined([m[3] for m in got])
         shared = np.unique(every[1:][every[1:] == every[:-1]])
         out = []
         for bucket, block, _, a, _, _ in got:
-            keys = B.u64(a)
+            keys = unpacked(a)
             keys = keys[B.member(keys, shared)]
             if len(keys):
-                out.append((bucket, block, 1, keys.tobytes(), None, None))
+                out.append((bucket, block, 1, packed(keys), None, None))
         return out
 
     # pass 2: which units does a smaller document have, which only share their anchor
@@ -171,12 +176,12 @@ class Passes:
         gram = u.gram[take][at]
         order = np.argsort(gram, kind="stable")
         gram, units, doc = gram[order], units[order], doc[order]
-        return [(b, block, 2, gram[s].tobytes(), units[s].tobytes(), doc[s].tobytes()) for b, s in B.split(gram, self.n)]
+        return [(b, block, 2, packed(gram[s]), packed(units[s]), packed(doc[s])) for b, s in B.split(gram, self.n)]
 
     def answer_units(self, got):
         if not got:
             return []
-        gram, unit, doc = B.u64(b"".join(m[3] for m in got)), B.u64(b"".join(m[4] for m in got)), B.i64(b"".join(m[5] for m in got))
+        gram, unit, doc = stacked(got, 3), stacked(got, 4), stacked(got, 5, np.int64)
         order = np.lexsort((doc, unit, gram))
         g, u, d = gram[order], unit[order], doc[order]
         head = np.ones(len(u), bool)
@@ -192,8 +197,8 @@ class Passes:
         out, i = [], 0
         for bucket, block, _, a, b, c in got:
             j = i + len(a) // 8
-            units, late = B.u64(b), smallest[i:j] < B.i64(c)
-            out.append((bucket, block, 3, units[late].tobytes(), units[~late & several[i:j]].tobytes(), None))
+            units, late = unpacked(b), smallest[i:j] < unpacked(c, np.int64)
+            out.append((bucket, block, 3, packed(units[late]), packed(units[~late & several[i:j]]), None))
             i = j
         return out
 
@@ -216,20 +221,20 @@ class Passes:
         late, single = self.settled(got)
         h, _, doc = self.open_windows(data, ids, u, single, False)
         keys, doc, _ = least(h, doc)
-        out = [(b, block, 4, keys[s].tobytes(), doc[s].tobytes(), None) for b, s in B.split(keys, self.n)]
-        return [*out, (block % self.n, block, B.ECHO, late.tobytes(), single.tobytes(), None)]
+        out = [(b, block, 4, packed(keys[s]), packed(doc[s]), None) for b, s in B.split(keys, self.n)]
+        return [*out, (block % self.n, block, B.ECHO, packed(late), packed(single), None)]
 
     def answer_windows(self, got):
         if not got:
             return []
-        keys, doc = B.u64(b"".join(m[3] for m in got)), B.i64(b"".join(m[4] for m in got))
+        keys, doc = stacked(got, 3), stacked(got, 4, np.int64)
         every, smallest, _ = least(keys, doc)
         out = []
         for bucket, block, _, a, b, _ in got:
-            own = B.u64(a)
-            late = own[smallest[np.searchsorted(every, own)] < B.i64(b)]
+            own = unpacked(a)
+            late = own[smallest[np.searchsorted(every, own)] < unpacked(b, np.int64)]
             if len(late):
-                out.append((bucket, block, 5, late.tobytes(), None, None))
+                out.append((bucket, block, 5, packed(late), None, None))
         return out
 
     # the end: spans
@@ -255,7 +260,7 @@ class Passes:
             np.add.at(change, start[hit] + self.threshold, -1)
         gone = np.cumsum(change[:-1]) > 0
         begin, end = np.flatnonzero(gone & ~shifted(gone, offsets, True)), np.flatnonzero(gone & ~shifted(gone, offsets, False)) + 1
-        owner = np.searchsorted(offsets, begin, "right") - 1
+        owner = owners(begin, offsets)
         base = offsets[owner]
         cuts = np.searchsorted(owner, np.arange(len(offsets)))
         flat = pa.StructArray.from_arrays([pa.array(begin - base), pa.array(end - base)], names=["start", "stop"])
