@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tracewell.queries import ORACLE, QUERIES, align
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-FLAGSHIP: Callable[[SparkSession, str], DataFrame] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/conversations.parquet")
+FLAGSHIP = align
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
