@@ -32,8 +32,8 @@ from tracewell.llm import blocks as B
 from tracewell.llm.bytesops import mix, packed, slices, text_buffers, unpacked, word_bounds, word_hashes
 
 MU = 8.0
-BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
 TOTALS = -2
 _START = np.uint64(0x2545F4914F6CDD1D)
 _ONE, _TWO = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD1342543DE82EF95)
@@ -157,8 +157,9 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, mu: float = MU,
     s = Scorer(mu, max(1, -(-size // bucket_bytes)))
     answers = B.answer(B.ask(dealt, s.ask), s.answer)
     part = lambda k: F.sum(from_bytes(F.substring("a", 8 * k + 1, 8)))
-    totals = answers.filter(F.col("kind") == TOTALS).agg(*(part(k).alias(f"t{k}") for k in range(3)))
-    spread = docs.sparkSession.range(n_blocks).select(F.col("id").cast("int").alias("block"), F.lit(1).alias("one")).join(F.broadcast(totals.withColumn("one", F.lit(1))), "one")
+    one = lambda c: F.pmod(F.xxhash64(c), F.lit(1)).alias("one")  # noqa: E731  the same key for all rows
+    totals = answers.filter(F.col("kind") == TOTALS).groupBy(one("bucket")).agg(*(part(k).alias(f"t{k}") for k in range(3)))
+    spread = docs.sparkSession.range(n_blocks).select(F.col("id").cast("int").alias("block"), one("id")).join(F.broadcast(totals), "one")  # one row
     packed_totals = F.concat(*(to_bytes(F.coalesce(f"t{k}", F.lit(0))) for k in range(3)))
     sent = spread.select(F.lit(0).alias("bucket"), "block", F.lit(TOTALS).alias("kind"), packed_totals.alias("a"), F.lit(None).cast("binary").alias("b"), F.lit(None).cast("binary").alias("c"))
     both = answers.filter(F.col("kind") != TOTALS).unionByName(sent)
