@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.bytesops import LOWER, text_buffers, slices, word_bounds
+from tracewell.llm.bytesops import LOWER, slices, text_buffers, trim, word_bounds
 
 WINDOW = 10
 GROUP_BYTES = 16 << 20
-LANE = 2048
+LANE = 512
 
 
 def normalised(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,15 +68,21 @@ class PatternClass:
     bucket: dict[int, list[int]] = field(default_factory=dict)
 
 
-def block_codes(buf: np.ndarray, block: int) -> np.ndarray:
-    """16-bit code of the ``block`` bytes that end at each place."""
-    b = buf.astype(np.uint16)
-    code = b.copy()
-    if block > 1:
-        code[1:] += b[:-1] * np.uint16(251)
-    if block > 2:
-        code[2:] += b[:-2] * np.uint16(63029)
-    return code
+#: Entries of a shift table: far more than blocks of one group of patterns, so that most are free.
+TABLE_BITS = 20
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_FRONT = 8
+
+
+def words_at(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes that end at each place, as numbers (zeros before the start)."""
+    padded = np.concatenate([np.zeros(_FRONT - 1, np.uint8), buf])
+    return np.ndarray(len(buf), np.uint64, padded, strides=(1,))
+
+
+def block_codes(eight: np.ndarray, block: int) -> np.ndarray:
+    """Table places of the last ``block`` of eight bytes."""
+    return ((eight >> np.uint64(8 * (8 - block))) * _SPREAD) >> np.uint64(64 - TABLE_BITS)
 
 
 def outer_keys(buf: np.ndarray, start: np.ndarray, m: int) -> np.ndarray:
@@ -104,12 +110,12 @@ class WuManber:
 
     def _tables(self, ids: list[int]) -> PatternClass:
         m = min(len(self.patterns[i]) for i in ids)
-        block = 3 if m > 6 else 2
-        block = min(block, m)
+        block = min(8, max(1, m // 2))
         flat = np.frombuffer(b"".join(self.patterns[i][:m] for i in ids), np.uint8).reshape(len(ids), m)
-        shift = np.full(1 << 16, m - block + 1, np.int32)
+        shift = np.full(1 << TABLE_BITS, min(m - block + 1, 30_000), np.int16)
+        eight = words_at(flat.ravel()).reshape(len(ids), m)
         for q in range(block - 1, m):
-            np.minimum.at(shift, block_codes_2d(flat, q, block), m - 1 - q)
+            np.minimum.at(shift, block_codes(eight[:, q], block), min(m - 1 - q, 30_000))
         keys = outer_keys(flat.ravel(), np.arange(len(ids)) * m, m)
         out = PatternClass(m, block, shift, np.unique(keys))
         for i, k in zip(ids, keys.tolist(), strict=True):
@@ -118,11 +124,9 @@ class WuManber:
 
     def search(self, buf: np.ndarray) -> Iterator[tuple[int, int]]:
         text = buf.tobytes()
-        codes: dict[int, np.ndarray] = {}
+        eight = words_at(buf)
         for c in self.classes:
-            if c.block not in codes:
-                codes[c.block] = block_codes(buf, c.block)
-            start = self._candidates(buf, codes[c.block], c)
+            start = self._candidates(buf, eight, c)
             if not len(start):
                 continue
             key = outer_keys(buf, start, c.m)
@@ -134,7 +138,7 @@ class WuManber:
                         yield s, i
 
     @staticmethod
-    def _candidates(buf: np.ndarray, codes: np.ndarray, c: PatternClass) -> np.ndarray:
+    def _candidates(buf: np.ndarray, eight: np.ndarray, c: PatternClass) -> np.ndarray:
         """Starts of the windows whose last block allows no shift."""
         last = len(buf) - c.m
         if last < 0:
@@ -144,7 +148,7 @@ class WuManber:
         pos += c.m - 1
         found = []
         while len(pos):
-            step = c.shift[codes[pos]]
+            step = c.shift[block_codes(eight[pos], c.block)]
             stay = step == 0
             if stay.any():
                 found.append(pos[stay] - (c.m - 1))
@@ -155,16 +159,6 @@ class WuManber:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def block_codes_2d(flat: np.ndarray, q: int, block: int) -> np.ndarray:
-    """``block_codes`` of column q of equally long patterns."""
-    code = flat[:, q].astype(np.uint16)
-    if block > 1:
-        code = code + flat[:, q - 1].astype(np.uint16) * np.uint16(251)
-    if block > 2:
-        code = code + flat[:, q - 2].astype(np.uint16) * np.uint16(63029)
-    return code
-
-
 def item_windows(rows: list, window: int) -> tuple[list[bytes], list[int], list[list]]:
     """Distinct window strings of (item_id, text) rows, words in each, items of each."""
     known: dict[bytes, int] = {}
@@ -215,6 +209,7 @@ def _searcher(tables):
             new = {WORDS: pa.array(n_words), HITS: pa.array(hits, hit_type)}
             names = batch.schema.names
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names=names)
+            trim()
 
     return run
 
