@@ -41,7 +41,6 @@ EDITS = 1
 BROADCAST_ROWS = 200_000
 
 TEXT_HASH = "xxhash64(text, 11)"
-ORDER = "struct<last:boolean,doc_id:bigint,text_hash:bigint,line:int>"
 
 
 def exploded(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -72,31 +71,51 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-VARIANTS = f"h1 long, h2 long, at {ORDER}, own boolean, place int, key long"
+VARIANTS = "h1 long, h2 long, own boolean, place int, key long"
+_ROWS = 1 << 18
 
 
 def variants(lines: DataFrame) -> DataFrame:
     """A key of each line itself and of each of its deletion variants (with the place left out)."""
 
+    def table(parts: list) -> pa.RecordBatch:
+        cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h1", "h2", "own", "place", "key"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, waiting = [], 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                points = np.frombuffer(batch.column("s")[i].as_py().encode("utf-32-le"), np.uint32).astype(np.uint64)
+            ids = [batch.column(c).to_numpy() for c in ("h1", "h2")]
+            for i, s in enumerate(batch.column("s").to_pylist()):
+                points = np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.uint64)
                 sums = prefix_sums(points + np.uint64(1))
                 n = len(points)
                 at = np.arange(n)
-                whole = raw_span_hash(sums, np.array([0]), np.array([n]))
-                # what follows the hole moves one place to the left
-                down = raw_span_hash(sums, at + 1, np.full(n, n))
                 up, _ = powers(n + 1)
-                key = np.concatenate([whole, raw_span_hash(sums, np.zeros(n, np.int64), at) + down * up[at]])
-                key = mix(key + np.append(np.uint64(n), np.full(n, n - 1, np.uint64))).view(np.int64)
-                same = [batch.column(c).slice(i, 1).take(pa.array(np.zeros(n + 1, np.int32))) for c in ("h1", "h2", "at")]
+                whole = raw_span_hash(sums, at[:1] * 0, np.array([n]))
+                # what follows the hole moves one place to the left
+                holed = sums[:n] + raw_span_hash(sums, at + 1, np.full(n, n)) * up[:n]
+                key = mix(np.concatenate([whole, holed]) + np.append(np.uint64(n), np.full(n, n - 1, np.uint64)))
                 own = np.zeros(n + 1, bool)
                 own[0] = True
-                yield pa.RecordBatch.from_arrays([*same, pa.array(own), pa.array(np.append(-1, at).astype(np.int32)), pa.array(key)], names=["h1", "h2", "at", "own", "place", "key"])
+                parts.append((*(np.full(n + 1, x[i]) for x in ids), own, np.arange(-1, n, dtype=np.int32), key.view(np.int64)))
+                waiting += n + 1
+                if waiting >= _ROWS:
+                    yield table(parts)
+                    parts, waiting = [], 0
+        if parts:
+            yield table(parts)
+
+    return lines.select("h1", "h2", "s").mapInArrow(run, VARIANTS)
+
 
-    return lines.select("h1", "h2", "at", "s").mapInArrow(run, VARIANTS)
+def shared_variants(lines: DataFrame) -> DataFrame:
+    """The variants that different lines share, with the place ``at`` of each line."""
+    keys = variants(lines)
+    shared = keys.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo != hi").select("key")
+    shared = written(shared, "shared_variants")
+    kept = keys.join(broadcast_if_small(shared), "key", "left_semi")
+    return written(kept.join(lines.select("h1", "h2", "at"), ["h1", "h2"]), "variants")
 
 
 def near_pairs(keys: DataFrame) -> DataFrame:
@@ -128,7 +147,7 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     found = exploded(docs, min_chars).select("at", "s", *identity())
     texts = found.join(broadcast_if_small(suspects), ["h1", "h2"]).filter(F.col("at") == F.col("first"))
     texts = written(texts.groupBy("h1", "h2").agg(F.first("at").alias("at"), F.first("s").alias("s")), "line_texts")
-    pairs = near_pairs(written(variants(texts.repartition("h1")), "variants"))
+    pairs = near_pairs(shared_variants(texts))
     mine, other = texts.select("h1", "h2", "s"), texts.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("s").alias("e"))
     verified = pairs.join(mine, ["h1", "h2"]).join(other, ["e1", "e2"]).filter(F.levenshtein("s", "e", EDITS) >= 0)
     near = written(verified.select("h1", "h2").distinct(), "near_lines")
