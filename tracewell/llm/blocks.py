@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.bytesops import unpacked
+from tracewell.llm.bytesops import trim, unpacked
 
 ECHO = -1
 MESSAGE = "bucket int, block int, kind int, a binary, b binary, c binary"
@@ -41,7 +41,9 @@ def dealt(docs: DataFrame, n_blocks: int) -> DataFrame:
 
 def table(messages: list[Message]) -> pa.Table:
     columns = list(zip(*messages, strict=True)) if messages else [()] * 6
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
+    out = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
+    trim()
+    return out
 
 
 def ask(blocks: DataFrame, emit: Callable[[int, pa.Table, list[Message]], list[Message]], answers: DataFrame | None = None) -> DataFrame:

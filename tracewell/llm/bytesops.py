@@ -8,6 +8,7 @@ depends on its longest single text, not on the number of rows.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,11 @@ for _lo, _hi in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: nothing to trim
+    _libc = None
+
 _U = np.uint64
 BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -154,6 +160,13 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndar
     return h[order], r[order]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def packed(values: np.ndarray) -> bytes:
     """64-bit values byte plane by byte plane: the planes of sorted keys and small numbers compress well."""
     return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm.bytesops import trim
+
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 24_000
 SYMBOLS = 255
@@ -134,7 +136,7 @@ class Model:
         points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
         s = self.codes()[points]
         sizes = np.array([len(t) for t in low], np.int64)
-        row = np.repeat(np.arange(len(low)), sizes)
+        row = np.repeat(np.arange(len(low), dtype=np.int32), sizes)
         blank = s == 255
         keep = np.ones(len(s), bool)
         keep[1:] = ~(blank[1:] & blank[:-1] & (row[1:] == row[:-1]))
@@ -221,7 +223,7 @@ def labelled(docs: DataFrame, model: Model) -> DataFrame:
             score: list[np.ndarray] = [np.zeros(0)]
             i = 0
             while i < len(texts):
-                j, room = i, 8 << 20
+                j, room = i, 3 << 20
                 while j < len(texts) and (j == i or room >= len(texts[j])):
                     room -= len(texts[j])
                     j += 1
@@ -230,6 +232,7 @@ def labelled(docs: DataFrame, model: Model) -> DataFrame:
                 score.append(s)
                 i = j
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(np.concatenate(score))], names=[*batch.schema.names, "__lang", "__score"])
+            trim()
 
     extra = docs.select("*", F.lit("").alias("__lang"), F.lit(0.0).alias("__score")).schema
     return docs.mapInArrow(run, extra)

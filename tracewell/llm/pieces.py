@@ -30,9 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.bytesops import mix, owners, prefix_sums, slices, span_hash, text_buffers
+from tracewell.llm.bytesops import mix, owners, prefix_sums, slices, span_hash, text_buffers, trim
 
 UNIT = 48
+#: Bytes encoded together, and distinct units of a lattice.
+SLICE, LATTICE = 4 << 20, 1 << 15
+DIRECT = 4096
 BLANK = "▁"
 SEED = 1
 ALPHA = 1.0
@@ -82,18 +85,27 @@ class Vocabulary:
                     self.piece_at.append(-1)
             self.piece_at[node] = i
         self.piece_at = np.array(self.piece_at, np.int32)
-        keys = np.array([a * 256 + b for a, b in nodes], np.int64)
+        keys = np.array([a * 256 + b for a, b in nodes], np.int32)
         order = np.argsort(keys)
         self.keys, self.goal = keys[order], np.array(list(nodes.values()), np.int32)[order]
+        # the first nodes come from the commonest pieces: their moves are looked up directly
+        near = self.keys < DIRECT * 256
+        self.direct = np.full(DIRECT * 256, -1, np.int32)
+        self.direct[self.keys[near]] = self.goal[near]
         self.sizes = np.array([len(s) for s in self.strings], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.blob = np.frombuffer(b"".join(self.strings), np.uint8)
 
     def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """The next trie node, or -1."""
-        key = node.astype(np.int64) * 256 + byte
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.goal[at], -1)
+        key = (node << 8) | byte  # node and key fit 32 bits
+        out = self.direct[np.minimum(key, DIRECT * 256 - 1)]
+        far = np.flatnonzero(node >= DIRECT)
+        if len(far):
+            k = key[far]
+            at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
+            out[far] = np.where(self.keys[at] == k, self.goal[at], -1)
+        return out
 
     # -- encoding ---------------------------------------------------------------------------
 
@@ -109,16 +121,25 @@ class Vocabulary:
             return np.zeros(0, np.int32), np.zeros(len(sizes) + 1, np.int64)
         text[np.arange(len(buf)) + np.cumsum(lead)[row]] = buf
         u_start, u_stop = units(text, starts[lead > 0])
-        sums = prefix_sums(text.astype(np.uint64) + np.uint64(1))
-        _, sample, kind = np.unique(span_hash(sums, u_start, u_stop), return_index=True, return_inverse=True)
-        lattice = Lattice(self, text, u_start[sample], u_stop[sample])
+        size = u_stop - u_start
+        _, sample, kind = np.unique(unit_hashes(text, u_start, u_stop), return_index=True, return_inverse=True)
+        by_size = np.argsort(size[sample], kind="stable")
+        place = np.empty(len(by_size), np.int32)
+        place[by_size] = np.arange(len(by_size))
+        kind, sample = place[kind], sample[by_size]
         chosen = np.full(len(text), -1, np.int32)
         seeds = mix(keys.view(np.uint64) + mix(np.array([seed], np.uint64)))
         rows_with = np.flatnonzero(lead)
         bounds = np.append(starts[rows_with], len(text))
         u_row = owners(u_start, bounds)
         origin = starts[rows_with][u_row]
-        lattice.sample(kind, u_start, u_stop, origin, seeds[rows_with][u_row], chosen)
+        u_seed = seeds[rows_with][u_row]
+        order = np.argsort(kind)
+        cuts = np.searchsorted(kind[order], np.arange(0, len(sample) + LATTICE, LATTICE))
+        for k in range(len(cuts) - 1):
+            some, at = sample[k * LATTICE : (k + 1) * LATTICE], order[cuts[k] : cuts[k + 1]]
+            lattice = Lattice(self, text, u_start[some], u_stop[some])
+            lattice.sample(kind[at] - k * LATTICE, u_start[at], size[at], origin[at], u_seed[at], chosen)
         used = np.flatnonzero(chosen >= 0)
         per_row = np.bincount(rows_with, weights=np.diff(np.searchsorted(used, bounds)), minlength=len(sizes)).astype(np.int64)
         return chosen[used], np.concatenate([[0], np.cumsum(per_row)])
@@ -161,6 +182,18 @@ def units(text: np.ndarray, row_starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start, stop
 
 
+def unit_hashes(text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of the units, a stretch of text at a time."""
+    out = np.empty(len(start), np.uint64)
+    cuts = np.append(np.searchsorted(start, np.arange(0, len(text), 1 << 18)), len(start))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            lo, hi = start[a], stop[b - 1]
+            sums = prefix_sums(text[lo:hi].astype(np.uint64) + np.uint64(1))
+            out[a:b] = span_hash(sums, start[a:b] - lo, stop[a:b] - lo)
+    return out
+
+
 class Lattice:
     """Forward sums of distinct units, and their edges ordered by (unit, end)."""
 
@@ -168,37 +201,38 @@ class Lattice:
         size = stop - start
         width = int(size.max()) + 1
         by_size = np.argsort(-size, kind="stable")
-        start, size = start[by_size], size[by_size]
+        start, size = start[by_size].astype(np.int32), size[by_size].astype(np.int32)
         place = np.empty(len(by_size), np.int64)
         place[by_size] = np.arange(len(by_size))
         padded = np.concatenate([text, np.zeros(width + 1, np.uint8)])
         total = np.zeros((len(start), width))
         total[:, 0] = 1
-        edge_key, edge_size, edge_piece, edge_part = [], [], [], []
+        edge_key, edge_piece, edge_part = [], [], []
 
         def add(lane, i, n, piece, weight):
             part = total[lane, i] * weight
             total[lane, i + n] += part
-            edge_key.append(lane * width + i + n)
-            edge_size.append(np.broadcast_to(np.asarray(n, np.int8), lane.shape))
+            edge_key.append((lane * width + (i + n)) * 64 + n)  # no two edges have the same: the order is one for all batches
             edge_piece.append(np.broadcast_to(np.asarray(piece, np.int32), lane.shape))
             edge_part.append(part)
 
         for i in range(width - 1):
-            lane = np.arange(int(np.searchsorted(-size, -i, "left")))
+            lane = np.arange(int(np.searchsorted(-size, -i, "left")), dtype=np.int32)
             lane = lane[total[lane, i] > 0]
             if not len(lane):
                 continue
             head = padded[start[lane] + i]
             point = 1 + (head >= 0xC0).astype(np.int64) + (head >= 0xE0) + (head >= 0xF0)
             lone = np.ones(len(lane), bool)
-            live, node = np.arange(len(lane)), np.zeros(len(lane), np.int64)
+            live, node = np.arange(len(lane), dtype=np.int32), np.zeros(len(lane), np.int32)
+            at_lane, room = start[lane] + i, size[lane] - i
             n = 0
             while len(live):
                 n += 1
-                ok = i + n <= size[lane[live]]
-                live, node = live[ok], node[ok]
-                node = vocab.step(node, padded[start[lane[live]] + i + n - 1])
+                ok = n <= room[live]
+                if not ok.all():
+                    live, node = live[ok], node[ok]
+                node = vocab.step(node, padded[at_lane[live] + (n - 1)])
                 ok = node >= 0
                 live, node = live[ok], node[ok]
                 piece = vocab.piece_at[node]
@@ -212,8 +246,9 @@ class Lattice:
                 if len(at):
                     add(at, i, n, -1, vocab.byte_weight**n)
         key = np.concatenate(edge_key)
-        order = np.argsort(key, kind="stable")
-        self.key, self.size, self.piece = key[order], np.concatenate(edge_size)[order], np.concatenate(edge_piece)[order]
+        order = np.argsort(key)
+        key = key[order]
+        self.key, self.size, self.piece = key >> 6, (key & 63).astype(np.int8), np.concatenate(edge_piece)[order]
         share = np.concatenate(edge_part)[order] / total.ravel()[self.key]
         # cumulative shares within a key, made one ascending array: rank of the key + share
         first = np.ones(len(self.key), bool)
@@ -229,12 +264,9 @@ class Lattice:
         self.first_edge = np.append(np.flatnonzero(first), len(self.key))
         self.width, self.place, self.vocab, self.text = width, place, vocab, text
 
-    def sample(self, kind, start, stop, origin, seeds, chosen) -> None:
-        """Draw a path for every unit; ``chosen`` gets each piece at the place of its last byte."""
-        order = np.argsort(kind, kind="stable")  # equal units side by side: the tables stay in cache
-        base = (self.place[kind] * self.width)[order]
-        start, left = start[order], (stop - start)[order]
-        origin, seeds = origin[order], seeds[order]
+    def sample(self, kind, start, left, origin, seeds, chosen) -> None:
+        """Draw a path for every unit (equal units side by side); ``chosen`` gets each piece at the place of its last byte."""
+        base = self.place[kind] * self.width
         while len(start):
             end = start + left
             r = mix(seeds ^ ((end - origin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
@@ -263,13 +295,14 @@ def encode(docs: DataFrame, key: str = "doc_id", model_file: str | None = None,
             col = batch.column("text")
             data, offsets = text_buffers(col)
             keys = np.asarray(batch.column("row_key").to_numpy(zero_copy_only=False), np.int64)
-            for i, j in slices(offsets, 2 << 20):
+            for i, j in slices(offsets, SLICE):
                 ids, cuts = vocab.value.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], keys[i:j], seed)
                 null = np.asarray(col.slice(i, j - i).is_null().to_numpy(zero_copy_only=False))
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))
                 if null.any():
                     lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32), mask=np.append(null, False)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(i, j - i), col.slice(i, j - i), lists], names=[key, "text", "ids"])
+            trim()
 
     kind = dict(docs.dtypes)[key]
     rows = docs.select(key, "text", F.xxhash64(F.col(key)).alias("row_key"))
@@ -291,6 +324,7 @@ def decode(encoded: DataFrame, model_file: str | None = None, vocab=None) -> Dat
             if null.any():
                 text = pa.array([None if x else t for x, t in zip(null, text.to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, "decoded"])
+            trim()
 
     return encoded.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes) + ", decoded string")
 
