@@ -41,6 +41,8 @@ EF = 48
 AUDIT = 32
 NEAREST = 5
 RECALL = 0.98
+#: A beam of width w opens max(4, w / AT_ONCE) nodes a step, so wide beams take few steps.
+AT_ONCE = 24
 #: Single-precision cosines this much below the limit are verified in double precision.
 MARGIN = 1e-4
 
@@ -143,7 +145,7 @@ class Graph:
         fresh[:, 0] = True
         seen[np.arange(b), start] = True
         live = np.arange(b)
-        at_once = min(4, ef)
+        at_once = min(max(4, ef // AT_ONCE), ef)
         while len(live):
             open_sim = np.where(fresh[live], sim[live], -np.inf)
             pick = np.argpartition(-open_sim, at_once - 1, 1)[:, :at_once] if at_once < ef else np.argsort(-open_sim, 1)[:, :at_once]
