@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEVERITY = ("direkt", "aggregiert", "inferiert", "bedeutung_verschoben", "keine_quelle")
@@ -65,3 +65,30 @@ def hash_split(df: DataFrame, text: str, test_share: float) -> DataFrame:
     digest = F.sha2(F.col(text), 256)
     share = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 1000 / 1000
     return df.withColumn("hash", F.substring(digest, 1, 16)).withColumn("split", F.when(share < test_share, "test").otherwise("dev"))
+
+
+def flag_counts(rows: DataFrame, flags: list[str]) -> DataFrame:
+    """flag, tp, fp and fn from rows (gold_flags, run_flags); a flag that never occurs has zeros."""
+    spread = rows.select("gold_flags", "run_flags", F.explode(F.array(*map(F.lit, flags))).alias("flag"))
+    holds = lambda c: F.coalesce(F.array_contains(c, F.col("flag")), F.lit(False))
+    n = lambda cond: F.count(F.when(cond, 1))
+    gold, run = holds("gold_flags"), holds("run_flags")
+    counted = spread.groupBy("flag").agg(n(gold & run).alias("tp"), n(~gold & run).alias("fp"), n(gold & ~run).alias("fn"))
+    every = rows.sparkSession.createDataFrame([(f,) for f in flags], "flag string")
+    return every.join(counted, "flag", "left").select("flag", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tp", "fp", "fn")))
+
+
+def error_listing(rows: DataFrame, classes: dict[str, Column], order: list[str], most: int) -> DataFrame:
+    """The first ``most`` rows of each error class with the class's total n; a row may be in several."""
+    named = [F.when(cond, F.lit(name)) for name, cond in classes.items()]
+    wrong = rows.withColumn("error", F.explode(F.filter(F.array(*named), lambda x: x.isNotNull())))
+    # a limit within a window: every task keeps at most that many rows of a class before the exchange
+    first = wrong.withColumn("k", F.row_number().over(Window.partitionBy("error").orderBy(*order))).filter(F.col("k") <= most)
+    return first.join(F.broadcast(wrong.groupBy("error").agg(F.count("*").alias("n"))), "error")
+
+
+def compared(runs: DataFrame, baseline: str, values: list[str]) -> DataFrame:
+    """Each run's values with d_<value>, the difference from the run named ``baseline``."""
+    base = runs.filter(F.col("run") == baseline).select(*(F.col(v).alias(f"__{v}") for v in values)).limit(1)
+    both = runs.join(F.broadcast(base), how="left")
+    return both.select("run", *values, *((F.col(v) - F.col(f"__{v}")).alias(f"d_{v}") for v in values))

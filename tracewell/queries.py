@@ -200,6 +200,50 @@ def rule_by_language(spark, sf_dir):
     return r.groupBy("lang").agg(F.count("*").alias("n"), F.sum((F.col("gold") == F.col("run")).cast("long")).alias("agreed"), *(F.round(f("score"), 6).alias(n) for f, n in ((F.avg, "mean_score"), (F.min, "lo"), (F.max, "hi"))))
 
 
+@query(_RULED + """, f AS (SELECT unnest(['low', 'toxic', 'other']) AS flag),
+    g AS (SELECT flag, CASE flag WHEN 'low' THEN quality = 0 WHEN 'toxic' THEN coalesce(toxic = 1, false) ELSE false END AS gold, CASE flag WHEN 'low' THEN NOT run WHEN 'toxic' THEN score > 0.9 ELSE false END AS hit FROM r, f)
+    SELECT flag, count(*) FILTER (gold AND hit) AS tp, count(*) FILTER (NOT gold AND hit) AS fp, count(*) FILTER (gold AND NOT hit) AS fn FROM g GROUP BY flag""")
+def rule_flags(spark, sf_dir):
+    """Counts per flag of length rules against the labels."""
+    names = lambda **c: F.filter(F.array(*(F.when(v, F.lit(k)) for k, v in c.items())), lambda x: x.isNotNull())
+    r = _ruled(spark, sf_dir)
+    r = r.select(names(low=F.col("quality") == 0, toxic=F.col("toxic") == 1).alias("gold_flags"), names(low=~F.col("run"), toxic=F.col("score") > 0.9).alias("run_flags"))
+    return evaluate.flag_counts(r, ["low", "toxic", "other"])
+
+
+@query(_RULED + """, e AS (SELECT doc_id, CASE WHEN gold AND NOT run THEN 'missed' WHEN run AND NOT gold THEN 'false' END AS error FROM r),
+    k AS (SELECT *, row_number() OVER (PARTITION BY error ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY error) AS n FROM e WHERE error IS NOT NULL)
+    SELECT error, k, n, doc_id FROM k WHERE k <= 10""")
+def rule_errors(spark, sf_dir):
+    """The first ten errors of each class, and how many there are."""
+    gold, run = F.col("gold"), F.col("run")
+    return evaluate.error_listing(_ruled(spark, sf_dir), {"missed": gold & ~run, "false": run & ~gold}, ["doc_id"], 10).select("error", "k", "n", "doc_id")
+
+
+@query(_RULED + """, t AS (SELECT threshold::VARCHAR AS run, count(*) FILTER (score >= threshold AND gold) AS kept, count(*) FILTER (score >= threshold) AS given, count(*) FILTER (gold) AS gold
+      FROM r, (SELECT unnest([0.25, 0.5, 0.75])::DOUBLE AS threshold) GROUP BY ALL),
+    v AS (SELECT run, CASE WHEN given > 0 THEN kept / given ELSE 0 END AS cip, CASE WHEN gold > 0 THEN kept / gold ELSE 0 END AS cir FROM t)
+    SELECT v.run, round(v.cip, 6) AS cip, round(v.cir, 6) AS cir, round(v.cip - b.cip, 6) AS d_cip, round(v.cir - b.cir, 6) AS d_cir FROM v, v b WHERE b.run = '0.25'""")
+def run_comparison(spark, sf_dir):
+    """Precision and recall of each threshold against those of the first."""
+    s = evaluate.sweep(_ruled(spark, sf_dir), "score", "gold", [0.25, 0.5, 0.75])
+    kept, wrong, dropped = F.col("kept"), F.col("wrong"), F.col("dropped")
+    runs = s.select(F.col("threshold").cast("string").alias("run"), evaluate.ratio(kept, kept + wrong).alias("cip"), evaluate.ratio(kept, kept + dropped).alias("cir"))
+    out = evaluate.compared(runs, "0.25", ["cip", "cir"])
+    return out.select("run", *(F.round(c, 6).alias(c) for c in ("cip", "cir", "d_cip", "d_cir")))
+
+
+@query(_FUSED + """, c AS (SELECT pair_id, ci, CASE WHEN top >= 0.44 THEN si END AS si FROM margins)
+    SELECT c.pair_id, c.ci, string_agg(s.text, ' ' ORDER BY s.idx) AS premise FROM c JOIN sents s ON s.pair_id = c.pair_id AND s.side = 'source' AND (s.idx = 0 OR s.idx = c.si) GROUP BY ALL""")
+def claim_premises(spark, sf_dir):
+    """F5 (without headings): the first sentence and the source of every claim."""
+    rows = plan.turns(table(spark, sf_dir, "conversations"))
+    sents, scores = plan.scored(rows)
+    decided = scoring.decided(scoring.fused(scores, sents)).select("pair_id", "ci", F.filter(F.array("si"), lambda x: x.isNotNull()).alias("sources"))
+    source = sents.filter("side = 'source'").select("pair_id", F.col("idx").alias("si"), "text", F.lit("body").alias("block"))
+    return scoring.premises(decided, source)
+
+
 @query("""WITH u AS (SELECT conv_id, turn FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn FROM conversations WHERE role = 'assistant')
     SELECT a.conv_id, a.turn, max(u.turn) AS source_turn FROM a LEFT JOIN u ON u.conv_id = a.conv_id AND u.turn <= a.turn GROUP BY ALL""")
 def asof_source(spark, sf_dir):
