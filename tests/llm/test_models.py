@@ -103,3 +103,20 @@ def test_recall_on_table(spark):
     want = dict(zip([r.vec_id for r in rows], near.sum(1) - 1))
     got = {r.vec_id: r.n_links for r in hnsw.op2_embedding_dedup(spark, sf).collect()}
     assert sum(got.values()) >= 0.98 * sum(want.values()) and all(got[k] <= want[k] for k in want)
+
+
+def test_graph_has_no_closed_groups():
+    """Tight groups larger than any neighbour list are reached from the first node, and their links found."""
+    rng = np.random.default_rng(3)
+    heads = rng.normal(size=(12, 32))
+    groups = np.concatenate([h + 0.02 * rng.normal(size=(120, 32)) for h in heads])
+    x = hnsw.unit(np.concatenate([groups, rng.normal(size=(1500, 32))])).astype(np.float32)
+    g = hnsw.Graph(x)
+    reached, front = {0}, [0]
+    while front:
+        front = sorted({int(b) for a in front for b in g.layers[0][a] if b >= 0} - reached)
+        reached.update(front)
+    assert len(reached) == len(x)
+    true = set(zip(*(a.tolist() for a in np.nonzero(x @ g.x.T >= 0.95)), strict=True))
+    got = {(a, int(b)) for a, found in g.links(x, 0.95, g.audited_width(x, 0.95)) for b in found}
+    assert len(got & true) >= 0.99 * len(true)
