@@ -92,3 +92,10 @@ def compared(runs: DataFrame, baseline: str, values: list[str]) -> DataFrame:
     base = runs.filter(F.col("run") == baseline).select(*(F.col(v).alias(f"__{v}") for v in values)).limit(1)
     both = runs.join(F.broadcast(base), how="left")
     return both.select("run", *values, *((F.col(v) - F.col(f"__{v}")).alias(f"d_{v}") for v in values))
+
+
+def merged(drafts: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """key, quality, reviewed: the draft of every row, or the old label where that was reviewed."""
+    both = drafts.join(labels, key, "left")
+    reviewed = F.coalesce("reviewed", F.lit(False))
+    return both.select(key, F.when(reviewed, F.col("old")).otherwise(F.col("draft")).alias("quality"), reviewed.alias("reviewed"))

@@ -274,6 +274,106 @@ def match_status(spark, sf_dir):
     return j.select("o_orderkey", F.when(F.col("hit") == 1, "match").when(F.col("hit") == 0, "konflikt").otherwise("unbelegt").alias("status"))
 
 
+@query("""WITH h AS (SELECT DISTINCT c.l_partkey AS pair_id, c.l_orderkey * 8 + c.l_linenumber AS ci, s.l_orderkey * 8 + s.l_linenumber AS si, c.l_quantity::DECIMAL(38, 6) AS entity, c.l_tax > 0.04 AS is_name
+      FROM lineitem c JOIN lineitem s ON c.l_partkey = s.l_partkey AND c.l_quantity::DECIMAL(38, 6) = s.l_quantity::DECIMAL(38, 6) WHERE c.l_returnflag = 'R' AND s.l_returnflag = 'N'),
+    v AS (SELECT *, count(*) OVER (PARTITION BY pair_id, ci, entity, is_name) AS n FROM h)
+    SELECT pair_id, ci, si, round(least(0.38, sum(CASE WHEN is_name THEN CASE n WHEN 1 THEN 0.20 WHEN 2 THEN 0.10 ELSE 0 END WHEN n = 1 THEN 0.30 WHEN n <= 3 THEN 0.12 ELSE 0 END))::DOUBLE, 6) AS anchor FROM v GROUP BY ALL""")
+def anchor_hits(spark, sf_dir):
+    """Equal values of a pair as decimals, by an equi-join, and the bonus they earn."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("pair_id"), F.col("l_quantity").cast("decimal(38,6)").alias("entity"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row"), "l_returnflag", "l_tax")
+    c = li.filter("l_returnflag = 'R'").select("pair_id", "entity", F.col("row").alias("ci"), (F.col("l_tax") > 0.04).alias("is_name"))
+    s = li.filter("l_returnflag = 'N'").select("pair_id", "entity", F.col("row").alias("si"))
+    return scoring.anchor_bonus(c.join(s, ["pair_id", "entity"])).select("pair_id", "ci", "si", F.round("anchor", 6).alias("anchor"))
+
+
+@query("""WITH p AS (SELECT l_orderkey AS pair_id, l_linenumber AS ci, l_discount * 10 AS e, l_tax * 12 AS c, 0.3::DOUBLE AS n, l_quantity / 50 AS top, l_extendedprice / 100000 AS lex,
+      CASE WHEN l_returnflag = 'A' THEN 'keine_quelle' ELSE 'direkt' END AS relation, l_linestatus = 'O' AS negation_differs, l_linenumber % 2 = 0 AS protected, l_quantity % 5 = 0 AS numbers FROM lineitem),
+    d AS (SELECT *, relation = 'direkt' AS asks, c >= 0.55 AND c >= e + 0.25 AS contra FROM p)
+    SELECT pair_id, ci, CASE WHEN asks AND NOT contra AND e < 0.60 AND n > e AND n > c AND NOT numbers AND NOT protected THEN 'bedeutung_verschoben' ELSE relation END AS relation,
+    concat_ws(',', CASE WHEN numbers THEN 'zahlkonflikt' END, CASE WHEN asks AND contra AND (negation_differs OR top < 0.75) THEN 'nli_widerspruch' END,
+      CASE WHEN asks AND contra AND NOT (negation_differs OR top < 0.75) THEN 'signale_uneinig' END, CASE WHEN asks AND c >= 0.90 AND lex >= 0.92 THEN 'widerspruch_wortgleich' END) AS flags FROM d""")
+def nli_decision(spark, sf_dir):
+    """F8: relation and flags after inference; the probabilities are columns of lineitem."""
+    none = F.array().cast("array<string>")
+    p = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("pair_id"), F.col("l_linenumber").alias("ci"), (F.col("l_discount") * 10).alias("e"), (F.col("l_tax") * 12).alias("c"), F.lit(0.3).alias("n"),
+        (F.col("l_quantity") / 50).alias("top"), (F.col("l_extendedprice") / 100000).alias("lex"), F.when(F.col("l_returnflag") == "A", "keine_quelle").otherwise("direkt").alias("relation"),
+        (F.col("l_linestatus") == "O").alias("negation_differs"), (F.col("l_linenumber") % 2 == 0).alias("protected"), F.when(F.col("l_quantity") % 5 == 0, F.array(F.lit("zahlkonflikt"))).otherwise(none).alias("flags"),
+    )
+    return scoring.after_nli(p).select("pair_id", "ci", "relation", F.array_join("flags", ",").alias("flags"))
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, [l_discount * 8, CASE WHEN l_linenumber % 2 = 0 THEN l_tax * 14 END] AS v FROM lineitem),
+    k AS (SELECT *, list_transform(list_filter(v, lambda x: x IS NOT NULL), lambda x: greatest(0, least(1, x)) ** 3) AS k FROM v)
+    SELECT l_orderkey, l_linenumber, round((list_sum(k) / len(k)) ** (1 / 3.0), 5) AS mean FROM k""")
+def power_means(spark, sf_dir):
+    """The cubic mean of two clamped signals, one of which may be missing."""
+    li = table(spark, sf_dir, "lineitem")
+    mean = scoring.power_mean([F.col("l_discount") * 8, F.when(F.col("l_linenumber") % 2 == 0, F.col("l_tax") * 14)], 3)
+    return li.select("l_orderkey", "l_linenumber", F.round(mean, 5).alias("mean"))
+
+
+_JUDGED = """WITH c AS (SELECT l_orderkey AS pair_id, l_linenumber % 3 AS satz, [l_suppkey % 5, l_partkey % 5] AS sources, [l_returnflag] AS flags, ['direkt', 'aggregiert', 'keine_quelle'][(l_quantity % 3)::INT + 1] AS relation FROM lineitem),
+    s AS (SELECT pair_id, satz, list_sort(list_distinct(flatten(list(sources)))) AS sources, list_sort(list_distinct(flatten(list(flags)))) AS flags,
+          arg_max(relation, list_position(['direkt', 'aggregiert', 'inferiert', 'bedeutung_verschoben', 'keine_quelle'], relation)) AS relation FROM c GROUP BY ALL)"""
+
+
+def _judged(spark, sf_dir) -> DataFrame:
+    relation = F.element_at(F.array(*map(F.lit, ("direkt", "aggregiert", "keine_quelle"))), (F.col("l_quantity") % 3).cast("int") + 1)
+    li = table(spark, sf_dir, "lineitem")
+    return evaluate.per_sentence(li.select(F.col("l_orderkey").alias("pair_id"), (F.col("l_linenumber") % 3).alias("satz"), F.array(F.col("l_suppkey") % 5, F.col("l_partkey") % 5).alias("sources"), F.array("l_returnflag").alias("flags"), relation.alias("relation")))
+
+
+@query(_JUDGED + " SELECT pair_id, satz, array_to_string(sources, ',') AS sources, array_to_string(flags, ',') AS flags, relation FROM s")
+def sentence_claims(spark, sf_dir):
+    """A1: the claims of a sentence as one row; the gravest relation wins."""
+    return _judged(spark, sf_dir).select("pair_id", "satz", F.array_join("sources", ",").alias("sources"), F.array_join("flags", ",").alias("flags"), "relation")
+
+
+@query(_JUDGED + """, k AS (SELECT len(list_intersect(sources, [o_custkey % 5, (o_custkey + 1) % 5])) AS hit, len(sources) AS given, len(list_intersect(sources, [o_custkey % 5])) AS found, 1 AS gold FROM s JOIN orders ON o_orderkey = pair_id),
+    t AS (SELECT sum(hit) / sum(given) AS cip, sum(found) / sum(gold) AS cir, avg(CASE WHEN given > 0 THEN hit / given ELSE 0 END) AS macro_cip, avg(found / gold) AS macro_cir FROM k)
+    SELECT round(cip, 6) AS cip, round(cir, 6) AS cir, round(2 * cip * cir / (cip + cir), 6) AS f1, round(macro_cip, 6) AS macro_cip, round(macro_cir, 6) AS macro_cir FROM t""")
+def source_quality(spark, sf_dir):
+    """A2, A3: micro and macro precision and recall of sources against needed and allowed ones."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pair_id"), F.array(F.col("o_custkey") % 5).alias("needed"), F.array((F.col("o_custkey") + 1) % 5).alias("allowed"))
+    scores = evaluate.source_scores(_judged(spark, sf_dir).join(o, "pair_id"))
+    return scores.select(*(F.round(c, 6).alias(c) for c in ("cip", "cir", "f1", "macro_cip", "macro_cir")))
+
+
+@query("""WITH d AS (SELECT doc_id, lang, sha256(text) AS h FROM documents WHERE text IS NOT NULL), run AS (SELECT * FROM d WHERE doc_id % 3 <> 0),
+    gold AS (SELECT h, min(lang) AS lang, min(doc_id) AS gold_id FROM d WHERE doc_id % 2 = 0 GROUP BY h)
+    SELECT r.doc_id, g.gold_id, CASE WHEN g.h IS NULL THEN 'unmatched' WHEN g.lang = 'en' THEN 'other_split' ELSE 'matched' END AS status FROM run r LEFT JOIN gold g ON r.h = g.h""")
+def labelled_runs(spark, sf_dir):
+    """Runs and labels by the hash of their texts; the other split and unmatched runs are named."""
+    d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "lang", F.sha2("text", 256).alias("h"))
+    gold = d.filter("doc_id % 2 = 0").groupBy("h").agg(F.min("lang").alias("gold_lang"), F.min("doc_id").alias("gold_id"))
+    status = F.when(F.col("gold_id").isNull(), "unmatched").when(F.col("gold_lang") == "en", "other_split").otherwise("matched")
+    return d.filter("doc_id % 3 != 0").join(gold, "h", "left").select("doc_id", "gold_id", status.alias("status"))
+
+
+@query("""WITH old AS (SELECT doc_id, min(quality) AS quality, bool_or(toxic = 0) AS reviewed FROM labels GROUP BY doc_id)
+    SELECT d.doc_id, CASE WHEN reviewed THEN quality ELSE (n_chars >= 1000)::INT END AS quality, coalesce(reviewed, false) AS reviewed FROM documents d LEFT JOIN old USING (doc_id)""")
+def merged_labels(spark, sf_dir):
+    """Drafted labels, where reviewed ones stay."""
+    old = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("old"), F.max(F.col("toxic") == 0).alias("reviewed"))
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") >= 1000).cast("int").alias("draft"))
+    return evaluate.merged(d, old, "doc_id")
+
+
+_WORDS = r"[A-ZÄÖÜ][\p{L}]{4,}"
+
+
+@query()
+def nearest_spelling(spark, sf_dir):
+    """Names of claims that the sources lack, and the nearest spelling within two edits (of characters, so without SQL)."""
+    c = table(spark, sf_dir, "conversations").filter("role in ('user', 'assistant')")
+    w = c.select(F.col("conv_id").alias("pair_id"), "role", F.explode(F.regexp_extract_all("text", F.lit(_WORDS), F.lit(0))).alias("w")).distinct()
+    source = w.filter("role = 'user'").select("pair_id", F.col("w").alias("nearest"), F.lower("w").alias("sl"))
+    claim = w.filter("role = 'assistant'").select("pair_id", F.col("w").alias("name"), F.lower("w").alias("cl"))
+    missing = claim.join(source.select("pair_id", F.col("sl").alias("cl")).distinct(), ["pair_id", "cl"], "left_anti")
+    return scoring.nearest_names(missing, source)
+
+
 # -- scanners: sequential, tested against documented examples ------------------------------
 
 
