@@ -42,8 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled piece ids of every document, and whether they decode to its text."""
-    vocab = spark.sparkContext.broadcast(pieces.Vocabulary(pieces.default_model()))
-    both = pieces.decode(pieces.encode(docs, vocab=vocab), vocab=vocab)
+    both = pieces.round_trip(docs)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 

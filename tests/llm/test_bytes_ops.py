@@ -225,6 +225,7 @@ def test_pieces_round_trip(spark):
     assert [r.ids for r in got if r.text is None] == [None] and all(r.ids == [] for r in got if r.text == "")
     again = {str(r.doc_id): r.ids for r in pieces.encode(d.repartition(3)).collect()}
     assert all(again[str(r.doc_id)] == r.ids for r in got)
+    assert sorted(map(str, pieces.round_trip(d).collect())) == sorted(map(str, got))
     assert pieces.encode(d.limit(0)).count() == 0
 
 

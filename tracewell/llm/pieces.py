@@ -286,9 +286,8 @@ class Lattice:
             start, left, base, origin, seeds = start[live], left[live], base[live], origin[live], seeds[live]
 
 
-def encode(docs: DataFrame, key: str = "doc_id", model_file: str | None = None, seed: int = SEED, alpha: float = ALPHA, vocab=None) -> DataFrame:
-    """key, text and the sampled piece ids of every row."""
-    vocab = vocab or docs.sparkSession.sparkContext.broadcast(Vocabulary(model_file or default_model(), alpha))
+def encoder(vocab, key: str, seed: int):
+    """Batches of key, text and row_key to batches of key, text and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,14 +303,11 @@ def encode(docs: DataFrame, key: str = "doc_id", model_file: str | None = None,
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(i, j - i), col.slice(i, j - i), lists], names=[key, "text", "ids"])
             trim()
 
-    kind = dict(docs.dtypes)[key]
-    rows = docs.select(key, "text", F.xxhash64(F.col(key)).alias("row_key"))
-    return rows.mapInArrow(run, f"`{key}` {kind}, text string, ids array<int>")
+    return run
 
 
-def decode(encoded: DataFrame, model_file: str | None = None, vocab=None) -> DataFrame:
-    """The columns of ``encoded`` and the decoded text."""
-    vocab = vocab or encoded.sparkSession.sparkContext.broadcast(Vocabulary(model_file or default_model()))
+def decoder(vocab):
+    """Batches with ids to the same with ``decoded``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,13 +322,38 @@ def decode(encoded: DataFrame, model_file: str | None = None, vocab=None) -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, "decoded"])
             trim()
 
-    return encoded.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes) + ", decoded string")
+    return run
+
+
+def _keyed(docs: DataFrame, key: str) -> tuple[DataFrame, str]:
+    rows = docs.select(key, "text", F.xxhash64(F.col(key)).alias("row_key"))
+    return rows, f"`{key}` {dict(docs.dtypes)[key]}, text string, ids array<int>"
+
+
+def encode(docs: DataFrame, key: str = "doc_id", model_file: str | None = None, seed: int = SEED, alpha: float = ALPHA, vocab=None) -> DataFrame:
+    """key, text and the sampled piece ids of every row."""
+    vocab = vocab or docs.sparkSession.sparkContext.broadcast(Vocabulary(model_file or default_model(), alpha))
+    rows, schema = _keyed(docs, key)
+    return rows.mapInArrow(encoder(vocab, key, seed), schema)
+
+
+def decode(encoded: DataFrame, model_file: str | None = None, vocab=None) -> DataFrame:
+    """The columns of ``encoded`` and the decoded text."""
+    vocab = vocab or encoded.sparkSession.sparkContext.broadcast(Vocabulary(model_file or default_model()))
+    return encoded.mapInArrow(decoder(vocab), ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes) + ", decoded string")
+
+
+def round_trip(docs: DataFrame, key: str = "doc_id", model_file: str | None = None, seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
+    """``decode(encode(docs))`` in one Python worker a task: the vocabulary is held once, not twice."""
+    vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_file or default_model(), alpha))
+    forth, back = encoder(vocab, key, seed), decoder(vocab)
+    rows, schema = _keyed(docs, key)
+    return rows.mapInArrow(lambda batches: back(forth(batches)), schema + ", decoded string")
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again; the query keeps digests."""
-    vocab = spark.sparkContext.broadcast(Vocabulary(default_model()))
-    both = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocab=vocab), vocab=vocab)
+    both = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
