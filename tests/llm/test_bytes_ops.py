@@ -214,6 +214,14 @@ def test_disclosing_terms(spark):
     assert pii.sanitise_spans(d.limit(0)).count() == 0
 
 
+def test_terms_of_rare_entities(spark):
+    rows = [(0, "Frau Einmalig wohnt hier unter one@x.org"), (1, "Herr Zweimal wohnt hier unter two@x.org"), (2, "Herr Zweimal wohnt hier unter two@x.org")]
+    rows += [(100 + i, f"Frau oder Herr wohnt hier unter {i}") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: {rows[r.doc_id][1][t.start : t.stop]: t.action for t in r.terms} for r in pii.sanitise_spans(d).collect() if r.terms}
+    assert got == {0: {"Einmalig": "generalise"}, 1: {"Zweimal": "remove"}, 2: {"Zweimal": "remove"}}
+
+
 TEXTS = ["", " ", "  two  blanks ", "Hello world\nnext ▁line", "Überall ist es schön 你好 🙂 ​", "a" * 500, "\n\n", "ñandú-" * 40, "\x00\x01", None, "▁"]
 
 

@@ -8,9 +8,11 @@ of an entity. Over the whole corpus, with documents as the unit,
     PMI(t; e) = log(N * joint(t, e) / (df(t) * df(e)))  information the term gives about it
     disclosure = PMI / IC = 1 + log(joint / df(t)) / IC(e)
 
-so 1 means that the term stands for the entity. With joint >= ``MIN_JOINT`` documents, terms
-of disclosure >= ``REMOVE`` are removed and those >= ``GENERALISE`` are replaced by a class
-word; both give spans of kind ``term``. Base spans always stay.
+so 1 means that the term stands for the entity. Every pair seen is rated, entities of a single
+document too: joint / df(t) is taken as (joint + s * df(e) / N) / (df(t) + s), s = ``SMOOTH``
+documents of which the share df(e) / N has the entity, so few documents count as weak evidence.
+Terms of disclosure >= ``REMOVE`` are removed and those >= ``GENERALISE`` are replaced by a
+class word; both give spans of kind ``term``. Base spans always stay.
 
 Scale: one pass over the texts yields narrow rows, only for documents that hold an entity; a
 second one sends document counts of words, added up per batch. All later joins are on narrow
@@ -38,7 +40,7 @@ from tracewell.llm.shared import written
 
 REACH = 10
 MIN_LETTERS = 4
-MIN_JOINT = 3
+SMOOTH = 0.5
 GENERALISE = 0.8
 REMOVE = 0.95
 KINDS = ("email", "ip", "card", "phone")
@@ -189,16 +191,17 @@ def term_key(term: pd.Series) -> pd.Series:
     return pd.Series(word_hashes(data, offsets[:-1], offsets[1:]).view(np.int64))
 
 
-def disclosures(found: DataFrame, docs: DataFrame, min_joint: int = MIN_JOINT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def disclosures(found: DataFrame, docs: DataFrame, smooth: float = SMOOTH, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """entity, term, disclosure, action for the terms beyond the threshold."""
     n = found.count()
     pairs = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p")).select("p.*")
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("joint")).filter(F.col("joint") >= min_joint)
+    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("joint"))
     per_entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
     joint = written(joint.join(per_entity, "entity").withColumn("term_key", term_key("term")), "joint")
     wanted = joint.select("term_key").distinct()
     df = word_frequencies(docs).join(wanted, "term_key", "left_semi")
-    rate = 1 + F.log(F.least(F.col("joint") / F.col("df"), F.lit(1.0))) / F.log(F.lit(float(max(n, 2))) / F.col("df_entity"))
+    given = (F.col("joint") + smooth * F.col("df_entity") / max(n, 1)) / (F.col("df") + smooth)
+    rate = 1 + F.log(F.least(given, F.lit(1.0))) / F.log(F.lit(float(max(n, 2))) / F.col("df_entity"))
     rated = joint.filter(F.col("df_entity") < n).join(df, "term_key").withColumn("disclosure", rate).filter(F.col("disclosure") >= generalise)
     return rated.select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"))
 
