@@ -60,6 +60,38 @@ def test_random_lines(spark, monkeypatch):
     check(spark, rows[:20])
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_short_lines(spark):
+    rows = [(1, "Les.\n\n \nLes.\n1234567890abcde"), (2, " Les. \nLas.\n\n\t\n1234567890abcdf\n1234567890abcdef"), (3, "Les.\n\t\n1234567890abcdeg")]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "Les.\n\n \n1234567890abcde", 2: "Las.\n\n\t\n1234567890abcdf\n1234567890abcdef", 3: "\t"}
+
+
+def test_edit_bounds(spark):
+    rnd = random.Random(9)
+    base = ["".join(rnd.choice("abcü") for _ in range(rnd.randint(6, 11))) for _ in range(12)]
+
+    def changed(s):
+        for _ in range(rnd.randint(0, 4)):
+            i = rnd.randint(0, len(s))
+            s = rnd.choice([s[:i] + "x" + s[i:], s[:i] + s[i + 1 :], s[:i] + "ß" + s[i + 1 :]])
+        return s
+
+    rows = [(i, changed(rnd.choice(base))) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for edits in (2, 3):
+        want = {i for i, s in rows if len(s) >= 5 and any(len(e) >= 5 and distance(s, e) <= edits for _, e in rows[:i])}
+        assert {r.doc_id for r in lines.dedup_lines(d, 5, edits).collect() if r.n_removed_lines} == want
+
+
 def test_empty_table(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
