@@ -222,6 +222,16 @@ def test_terms_of_rare_entities(spark):
     assert got == {0: {"Einmalig": "generalise"}, 1: {"Zweimal": "remove"}, 2: {"Zweimal": "remove"}}
 
 
+def test_terms_in_whole_documents(spark):
+    far = "Grünwald é " + "wohnt hier " * 20
+    rows = [(i, f"{far}boss@x.org und Grünwald, grünwald") for i in range(5)] + [(5, "é Grünwald ohne alles")]
+    rows += [(100 + i, "wohnt hier ohne alles und sonst") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for group_keys in (1 << 20, 1):
+        got = {r.doc_id: [rows[r.doc_id][1][t.start : t.stop] for t in r.terms] for r in pii.sanitise_spans(d, group_keys=group_keys).collect() if r.terms}
+        assert got == {**{i: ["Grünwald", "Grünwald", "grünwald"] for i in range(5)}, 5: ["Grünwald"]}
+
+
 TEXTS = ["", " ", "  two  blanks ", "Hello world\nnext ▁line", "Überall ist es schön 你好 🙂 ​", "a" * 500, "\n\n", "ñandú-" * 40, "\x00\x01", None, "▁"]
 
 

@@ -1,8 +1,8 @@
 """Personal data by patterns, and information-theoretic sanitisation of what surrounds it.
 
 Patterns give the base spans (email, ip, card, phone; see ``base_spans``). Their values are the
-protected entities. A term is a word of at least ``MIN_LETTERS`` letters within ``REACH`` words
-of an entity. Over the whole corpus, with documents as the unit,
+protected entities. A term is a word of at least ``MIN_LETTERS`` letters outside all base spans,
+anywhere in a document with an entity. Over the whole corpus, with documents as the unit,
 
     IC(e) = log(N / df(e))                         information the entity carries
     PMI(t; e) = log(N * joint(t, e) / (df(t) * df(e)))  information the term gives about it
@@ -12,11 +12,13 @@ so 1 means that the term stands for the entity. Every pair seen is rated, entiti
 document too: joint / df(t) is taken as (joint + s * df(e) / N) / (df(t) + s), s = ``SMOOTH``
 documents of which the share df(e) / N has the entity, so few documents count as weak evidence.
 Terms of disclosure >= ``REMOVE`` are removed and those >= ``GENERALISE`` are replaced by a
-class word; both give spans of kind ``term``. Base spans always stay.
+class word, by the entity they disclose most and wherever they stand, also in documents
+without an entity; both give spans of kind ``term``. Base spans always stay.
 
-Scale: one pass over the texts yields narrow rows, only for documents that hold an entity; a
-second one sends document counts of words, added up per batch. All later joins are on narrow
-rows keyed by (entity, term) or by term, with partial aggregation; nothing is broadcast.
+Scale: no text is shuffled. A first pass sends (entity, term) counts, added up per batch, of the
+documents that hold an entity; a second one document counts of words. Rates are joined by
+term, per term and frequency of entity. A last pass finds the decided terms in all texts; their
+keys travel in groups of ``GROUP_KEYS``, each searched in turn, so the broadcast is bounded.
 
 Defined results: a null text is empty (no spans, hash of the empty string); every row gives one
 row, repeated rows too; null ids stay null; empty tables give empty results; extra columns are
@@ -29,20 +31,20 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracewell.llm.bytesops import slices, text_buffers, word_bounds, word_hashes
 from tracewell.llm.shared import written
 
-REACH = 10
 MIN_LETTERS = 4
 SMOOTH = 0.5
 GENERALISE = 0.8
 REMOVE = 0.95
+#: Decided terms of one broadcast, and counted pairs a worker holds before it sends them.
+GROUP_KEYS = 1 << 20
+_PAIRS = 1 << 17
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -97,31 +99,16 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return out
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int, str]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words within REACH words of an entity and outside all base spans."""
-    if not spans:
-        return []
-    taken = sorted((a, b) for _, a, b, _ in spans)
+def terms_in(text: str, spans: list[tuple[str, int, int, str]]) -> set[str]:
+    """The terms of a text outside all base spans."""
+    taken = [(a, b) for _, a, b, _ in spans]
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    starts = [a for a, _ in words]
-    lows = np.array(starts)
+    lows, highs = np.array([a for a, _ in words], np.int64), np.array([b for _, b in words], np.int64)
     cut = np.zeros(len(words), bool)
     for a, b in taken:
-        cut[np.searchsorted(lows, a) : np.searchsorted(lows, b)] = True
-        k = int(np.searchsorted(lows, a)) - 1
-        if k >= 0 and words[k][1] > a:
-            cut[k] = True
-    free = np.flatnonzero(~cut)
-    out = {}
-    for kind, a, b, value in spans:
-        left = int(np.searchsorted(lows[free], a))
-        right = int(np.searchsorted(lows[free], b))
-        for k in (*free[max(0, left - REACH) : left], *free[right : right + REACH]):
-            s, e = words[k]
-            w = text[s:e]
-            if e - s >= MIN_LETTERS and w.isalpha():
-                out[f"{kind}:{value}", lower(w), s, e] = None
-    return list(out)
+        cut[np.searchsorted(highs, a, "right") : np.searchsorted(lows, b)] = True
+    found = (text[words[k][0] : words[k][1]] for k in np.flatnonzero(~cut).tolist())
+    return {lower(w) for w in found if len(w) >= MIN_LETTERS and w.isalpha()}
 
 
 def lower(word: str) -> str:
@@ -129,34 +116,46 @@ def lower(word: str) -> str:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in word)
 
 
-NEAR = "array<struct<entity:string,term:string,start:int,stop:int>>"
 BASE = "array<struct<kind:string,start:int,stop:int>>"
+TERMS = "array<struct<start:int,stop:int,action:string>>"
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, base spans, the entities' keys and the terms near them, one row per document."""
-    base_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
-    near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
+def marked(part: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, str, list]]:
+    """Row, text and base spans of the rows that may hold an entity."""
+    marks = np.flatnonzero((part == 0x40) | ((part >= 0x30) & (part <= 0x39)))
+    for r in np.unique(np.searchsorted(offsets, marks, "right") - 1).tolist():
+        text = part[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8", "replace")
+        yield r, text, base_spans(text)
+
+
+def observed(docs: DataFrame) -> DataFrame:
+    """entity, term_key, joint: documents with both; a null term_key: documents with the entity."""
+
+    def table(counts: dict) -> pa.RecordBatch:
+        entity, key = zip(*counts, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(entity), pa.array(key, pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["entity", "term_key", "joint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict = {}
         for batch in batches:
-            base: list[list] = [[] for _ in range(batch.num_rows)]
-            entities: list[list] = [[] for _ in range(batch.num_rows)]
-            near: list[list] = [[] for _ in range(batch.num_rows)]
             data, offsets = text_buffers(batch.column("text"))
             for i, j in slices(offsets):
-                part = data[offsets[i] : offsets[j]]
-                marks = np.flatnonzero((part == 0x40) | ((part >= 0x30) & (part <= 0x39)))
-                rows = np.unique(np.searchsorted(offsets[i : j + 1] - offsets[i], marks, "right") - 1)
-                for r in rows.tolist():
-                    text = part[offsets[i + r] - offsets[i] : offsets[i + r + 1] - offsets[i]].tobytes().decode("utf-8", "replace")
-                    spans = base_spans(text)
-                    base[i + r] = [{"kind": k, "start": a, "stop": b} for k, a, b, _ in spans]
-                    entities[i + r] = sorted({f"{k}:{v}" for k, _, _, v in spans})
-                    near[i + r] = [dict(zip(("entity", "term", "start", "stop"), x, strict=True)) for x in near_terms(text, spans)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, base_type), pa.array(entities, pa.list_(pa.string())), pa.array(near, near_type)], names=["doc_id", "base", "entities", "near"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, base {BASE}, entities array<string>, near {NEAR}")
+                for _, text, spans in marked(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+                    if not spans:
+                        continue
+                    raw, at = text_buffers(pa.array(sorted(terms_in(text, spans)), pa.string()))
+                    keys = [None, *word_hashes(raw, at[:-1], at[1:]).view(np.int64).tolist()]
+                    for e in sorted({f"{k}:{v}" for k, _, _, v in spans}):
+                        for key in keys:
+                            counts[e, key] = counts.get((e, key), 0) + 1
+                        if len(counts) >= _PAIRS:
+                            yield table(counts)
+                            counts = {}
+        if counts:
+            yield table(counts)
+
+    rows = docs.select("text").mapInArrow(run, "entity string, term_key long, joint long")
+    return rows.groupBy("entity", "term_key").agg(F.sum("joint").alias("joint"))
 
 
 def word_frequencies(docs: DataFrame) -> DataFrame:
@@ -183,37 +182,66 @@ def word_frequencies(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term_key long, df long").groupBy("term_key").agg(F.sum("df").alias("df"))
 
 
-@F.pandas_udf(T.LongType())
-def term_key(term: pd.Series) -> pd.Series:
-    """The key of ``word_frequencies`` for a word."""
-
-    data, offsets = text_buffers(pa.array(term, pa.string()))
-    return pd.Series(word_hashes(data, offsets[:-1], offsets[1:]).view(np.int64))
-
-
-def disclosures(found: DataFrame, docs: DataFrame, smooth: float = SMOOTH, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """entity, term, disclosure, action for the terms beyond the threshold."""
-    n = found.count()
-    pairs = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p")).select("p.*")
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("joint"))
-    per_entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
-    joint = written(joint.join(per_entity, "entity").withColumn("term_key", term_key("term")), "joint")
-    wanted = joint.select("term_key").distinct()
-    df = word_frequencies(docs).join(wanted, "term_key", "left_semi")
+def disclosures(docs: DataFrame, smooth: float = SMOOTH, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """term_key, disclosure (of the entity it tells most about), action for the terms beyond the threshold."""
+    n = docs.count()
+    pairs = written(observed(docs), "joint")
+    per_entity = pairs.filter("term_key is null").select("entity", F.col("joint").alias("df_entity")).filter(F.col("df_entity") < n)
+    joint = pairs.filter("term_key is not null").join(per_entity, "entity")
+    # at equal frequency of the entity, more joint documents disclose more
+    joint = written(joint.groupBy("term_key", "df_entity").agg(F.max("joint").alias("joint")), "rates")
+    df = word_frequencies(docs).join(joint.select("term_key").distinct(), "term_key", "left_semi")
     given = (F.col("joint") + smooth * F.col("df_entity") / max(n, 1)) / (F.col("df") + smooth)
     rate = 1 + F.log(F.least(given, F.lit(1.0))) / F.log(F.lit(float(max(n, 2))) / F.col("df_entity"))
-    rated = joint.filter(F.col("df_entity") < n).join(df, "term_key").withColumn("disclosure", rate).filter(F.col("disclosure") >= generalise)
-    return rated.select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"))
+    rated = joint.join(df, "term_key").groupBy("term_key").agg(F.max(rate).alias("disclosure")).filter(F.col("disclosure") >= generalise)
+    return rated.withColumn("action", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise"))
+
 
+def _marker(tables):
+    """mapInArrow function: the rows again, with base spans and this group's terms."""
 
-def sanitise_spans(docs: DataFrame, **thresholds) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, removed = tables.value
+        base_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
+        term_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("action", pa.string())]))
+        for batch in batches:
+            base: list[list] = [[] for _ in range(batch.num_rows)]
+            terms: list[list] = batch.column("terms").to_pylist()
+            data, offsets = text_buffers(batch.column("text"))
+            for i, j in slices(offsets):
+                part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                for r, _, spans in marked(part, at):
+                    base[i + r] = [{"kind": k, "start": a, "stop": b} for k, a, b, _ in spans]
+                if not len(keys) or not len(part):
+                    continue
+                start, stop, row = word_bounds(part, at)
+                h = word_hashes(part, start, stop).view(np.int64)
+                k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = np.flatnonzero(keys[k] == h)
+                points = np.append(0, np.cumsum((part & 0xC0) != 0x80))  # code points before each byte
+                first = points[at[row[hit]]]
+                for r, a, b, gone in zip(row[hit].tolist(), (points[start[hit]] - first).tolist(), (points[stop[hit]] - first).tolist(), removed[k[hit]].tolist(), strict=True):
+                    if not any(x["start"] < b and a < x["stop"] for x in base[i + r]):
+                        terms[i + r].append({"start": a, "stop": b, "action": "remove" if gone else "generalise"})
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(base, base_type), pa.array(terms, term_type)], names=["doc_id", "text", "base", "terms"])
+
+    return run
+
+
+def sanitise_spans(docs: DataFrame, group_keys: int = GROUP_KEYS, **thresholds) -> DataFrame:
     """doc_id, base spans and the term spans with their action, one row per document."""
-    found = written(detect(docs).withColumn("row", F.monotonically_increasing_id()), "pii")
-    decided = written(disclosures(found, docs, **thresholds), "disclosures")
-    near = found.select("row", F.explode("near").alias("x")).select("row", "x.*")
-    term = F.struct("start", "stop", "action")
-    terms = near.join(decided, ["entity", "term"]).groupBy("row").agg(F.collect_set(term).alias("terms"))
-    return found.select("row", "doc_id", "base").join(terms, "row", "left").select("doc_id", "base", F.coalesce(F.array_sort("terms"), F.expr("cast(array() as array<struct<start:int,stop:int,action:string>>)")).alias("terms"))
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
+    decided = written(disclosures(docs, **thresholds), "disclosures")
+    groups = max(1, -(-decided.count() // group_keys))
+    out = docs.select("doc_id", "text", F.expr(f"cast(array() as {BASE}) base"), F.expr(f"cast(array() as {TERMS}) terms"))
+    for g in range(groups):
+        part = decided.filter(F.pmod("term_key", F.lit(groups)) == g).select("term_key", F.expr("action = 'remove'").alias("removed")).toArrow()
+        keys, removed = part.column("term_key").to_numpy(), part.column("removed").to_numpy()
+        order = np.argsort(keys)
+        tables = spark.sparkContext.broadcast((keys[order], removed[order].astype(bool)))
+        out = out.mapInArrow(_marker(tables), f"doc_id long, text string, base {BASE}, terms {TERMS}")
+    return out.select("doc_id", "base", F.array_sort("terms").alias("terms"))
 
 
 def apply_spans(text: str, base: list[tuple[str, int, int]], terms: list[tuple[int, int, str]]) -> str:
