@@ -46,13 +46,64 @@ def made(seed):
 def test_against_brute_force(spark, monkeypatch):
     rows = made(3)
     d = spark.createDataFrame([(a, b, 1, 2) for a, b in rows], "doc_id long, text string, cls int, size int")
-    for node, chunk in ((256, 384), (6, 4)):
-        monkeypatch.setattr(chosenpath, "NODE", node)
-        monkeypatch.setattr(chosenpath, "CHUNK", chunk)
+    for node, part, stray, chunk in ((256, 4096, 1024, 1024), (6, 12, 2, 4)):
+        for name, value in (("NODE", node), ("PART", part), ("STRAY", stray), ("CHUNK", chunk)):
+            monkeypatch.setattr(chosenpath, name, value)
         got = sorted((r.doc_id, r.n_links, r.component_id) for r in chosenpath.near_duplicates(d).collect())
         assert got == brute(rows)
 
 
+def near_copies(n, seed=5):
+    rnd = random.Random(seed)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rnd.choice([0, 1, 1, 2])):
+            w[rnd.choice([0, 1, 2, 57, 58, 59, 30])] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Exact results, and candidate edges in proportion to the group, though its nodes are beyond one task."""
+    monkeypatch.setattr(chosenpath, "PART", 300)
+    monkeypatch.setattr(chosenpath, "STRAY", 40)
+    edges = {}
+    for n in (600, 1200):
+        rows = near_copies(n)
+        d = spark.createDataFrame(rows, "doc_id long, text string")
+        s = chosenpath.sketches(d, 5, chosenpath.root_tokens(0.8)).filter("n_shingles > 0").dropDuplicates(["cls"])
+        edges[n] = chosenpath.candidates(chosenpath.written(s, "test"), 0.8).count()
+    assert edges[1200] < 2.5 * edges[600] and edges[1200] < 4 * chosenpath.runs_for(0.8) * 1200
+    got = sorted((r.doc_id, r.n_links, r.component_id) for r in chosenpath.near_duplicates(spark.createDataFrame(near_copies(900), "doc_id long, text string")).collect())
+    assert got == brute(near_copies(900))
+
+
+def test_runs_reach_the_recall():
+    """Pairs at the threshold that share no node, in drawn sketches and trees of three large and eight small levels."""
+    rnd = random.Random(1)
+
+    def meets(agree, levels):
+        if not levels:
+            return True
+        draws = 2 if levels in (12, *range(1, 9)) or rnd.random() < 0.25 else 1
+        return any(agree[rnd.randrange(128)] and meets(agree, levels - 1) for _ in range(draws))
+
+    missed = 0
+    for _ in range(6000):
+        agree = [rnd.random() < 0.8 for _ in range(128)]
+        missed += not any(meets(agree, 12) for _ in range(chosenpath.runs_for(0.8)))
+    assert missed <= 9 and chosenpath.runs_for(0.8) < 12
+
+
+def test_ids_that_name_many_texts(spark):
+    """Null and repeated ids bring no other texts: counts stay those of the rows."""
+    rows = [(None, f"text {i} of many words that are all the same but {i}") for i in range(30)] + [(3, f"again {i} a text of many words and more {i} {i}") for i in range(30)]
+    got = chosenpath.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 60 and sorted(r.n_links for r in got) == sorted(x[1] for x in brute([(k, t) for k, (_, t) in enumerate(rows)]))
+
+
 def test_repeated_rows_and_null_ids(spark):
     t = " ".join(f"w{i}" for i in range(30))
     d = spark.createDataFrame([(None, t), (5, t), (5, t), (5, "other text " * 9), (None, None), (7, t + " end")], "doc_id long, text string")

@@ -1,24 +1,29 @@
 """Similarity join on word n-gram sets: the chosen-path method, then exact verification.
 
-Sets are embedded by MinHash into ``COORDINATES`` (coordinate, value) tokens. In each of ``RUNS``
-repeated runs a random tree splits the sets: at a node, coordinates are sampled with
-probability 1 / (threshold * COORDINATES) each, and a set goes to one child per sampled
-coordinate, keyed by its value there. Two sets at the threshold agree on a coordinate with
-probability >= threshold, so they share one child on average at every level, while unlike sets
-soon part. Nodes of at most ``NODE`` sets are compared by brute force; larger ones split again,
-up to ``DEPTH`` levels, and what is still larger is compared in blocks, exactly and without
-a cap. A pair at the threshold is missed by one run with probability below 0.6, by all runs below
-0.6 ** RUNS < 0.002; pairs above it and pairs in unsplit nodes far less.
-
-Brute force in a node keeps candidates whose sketches agree well; as a forest, not as pairs. The
-components of the candidate forest (clusters) are then verified exactly: the sets are made from
-the texts again and all pairs of a cluster are compared in blocks, inside tasks, which count
-the links and return a forest of the true ones.
+Sets are embedded by MinHash into ``COORDINATES`` (coordinate, value) tokens. In each of several
+repeated runs a random tree splits the sets: every node draws coordinates, and a set goes to one
+child per drawn coordinate, keyed by its value there; unlike sets soon part. Nodes of at most
+``PART`` sets are solved inside a task, where they split again, as deep as it takes, until at most
+``NODE`` sets are compared by brute force. Larger nodes are split by the cluster. The runs are repeated
+until pairs at the threshold, with sketches as bad as ``SLACK`` allows, are missed with probability
+below 1 - ``RECALL`` (see ``missed``).
+
+Candidates are kept as a forest, not as pairs. In a large node ``PIVOTS`` members are compared with
+all others: who agrees with a pivot gets one edge to it and its label. Members of one label are
+connected already, so pairs of them add nothing: nodes of a single label end; a node with few members
+outside its largest label compares these with all others; only what is mixed splits. So a group of
+any number of near copies costs an edge a member, not one a pair, and no task sees more than
+``PART`` members with the pivots or the ``STRAY`` others.
+
+The components of the candidate forest (clusters) are then verified exactly: the hashed shingle sets
+of a cluster are compared pair by pair in blocks, inside tasks, which count the links and
+return a forest of the true ones.
 
 Texts with equal word sequences are one class. Null, empty and word-free texts have no set and
 link with nothing, not even each other. A text of fewer than n words, but not none, is one shingle.
 Repeated rows are copies of one another; null ids take part but never name a class if a member
-has an id; extra columns are ignored; an empty table gives an empty result.
+has an id; ties go to the smaller id; extra columns are ignored; an empty table gives an empty
+result. Very long texts are hashed whole, a text at a time; blocks hold fewer of them.
 """
 
 from __future__ import annotations
@@ -27,42 +32,76 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.bytesops import mix, shingle_hashes, slices, text_buffers, word_bounds, word_hashes
-from tracewell.llm.components import Forest, components
-from tracewell.llm.shared import written
+from tracewell.llm.components import components
+from tracewell.llm.shared import salted_join, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
 COORDINATES = 128
-RUNS = 12
+#: Least share of the pairs at the threshold that the runs must bring together, through so many levels of large nodes.
+RECALL, LEVELS = 0.9995, 3
 NODE = 256
-DEPTH = 3
+#: Members of a node that one task solves, pivots of a larger one, and members outside its largest label that meet all others.
+PART = 4096
+PIVOTS = 64
+STRAY = 1024
 #: Sketches of a pair at the threshold agree on fewer coordinates than this in 3 of 10,000 cases.
 SLACK = 0.12
-CHUNK = 384
+#: Classes, and shingles, of a block of the exact comparison.
+CHUNK = 1024
+CHUNK_SHINGLES = 1 << 21
 BROADCAST_ROWS = 200_000
+TEXT_HASH = "xxhash64(text, 11)"
 
 _rng = np.random.Generator(np.random.PCG64(61))
 _MULTIPLY = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
 
 
-def sampled(node: int, run_key: int, threshold: float) -> np.ndarray:
-    """The coordinates that a node of a run splits on."""
-    h = mix(np.arange(COORDINATES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mix(np.array([node ^ run_key], np.uint64)))
-    return np.flatnonzero(h < np.uint64(int(2.0**64 / (threshold * COORDINATES))))
+#: Coordinates that a root and a node inside a task draw; a large node draws one, or two in a quarter of the cases.
+DRAWS = 2
 
 
-def root_tokens(runs: int, threshold: float) -> np.ndarray:
-    """(run, coordinate) of all children of the roots, without repeated coordinates (they would make equal nodes)."""
-    out: dict[int, int] = {}
-    for r in range(runs):
-        for c in sampled(0, 0x5851F42D4C957F2D * (r + 1) & (1 << 64) - 1, threshold):
-            out.setdefault(int(c), r)
-    return np.array(sorted(out), np.int64)
+def missed(agreement: float, levels: int = LEVELS) -> float:
+    """Probability that a run parts a pair whose sketches agree in this share, through ``levels`` of large nodes."""
+    inside = 0.0  # inside a task
+    for _ in range(64):
+        inside = (1 - agreement + agreement * inside) ** DRAWS
+    q = inside
+    for _ in range(levels):
+        part = 1 - agreement + agreement * q
+        q = 0.75 * part + 0.25 * part**2
+    return (1 - agreement + agreement * q) ** DRAWS
+
+
+def runs_for(threshold: float, recall: float = RECALL) -> int:
+    """Runs that miss a pair at the threshold with probability below 1 - recall, over all sketches it may have."""
+    p = np.arange(COORDINATES + 1)
+    log = np.cumsum(np.log(np.maximum(p, 1)))
+    chance = np.exp(log[-1] - log - log[::-1] + p * np.log(threshold) + p[::-1] * np.log(1 - threshold))
+    q = np.array([missed(k / COORDINATES) for k in p])
+    q[p < np.ceil((threshold - SLACK) * COORDINATES)] = 0  # the sketches' fault, not the trees'
+    return next(r for r in range(1, COORDINATES) if (chance * q**r).sum() < 1 - recall)
+
+
+def drawn(node: int, n: int) -> np.ndarray:
+    """n coordinates of a node."""
+    h = mix(np.arange(COORDINATES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mix(np.array([node & (1 << 64) - 1], np.uint64)))
+    return np.argsort(h)[:n]
+
+
+def sampled(node: int) -> np.ndarray:
+    """The coordinates that a large node splits on."""
+    return drawn(node, 2 if mix(np.array([node & (1 << 64) - 1], np.uint64))[0] % np.uint64(4) == 0 else 1)
+
+
+def root_tokens(threshold: float, recall: float = RECALL) -> np.ndarray:
+    """The coordinates of all children of the roots: no two runs share one, so their nodes differ."""
+    return np.sort(drawn(0x5851F42D4C957F2D, min(COORDINATES, runs_for(threshold, recall) * DRAWS)))
 
 
 def sets_of(col: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -83,7 +122,7 @@ def sets_of(col: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.nd
 
 
 def sketches(docs: DataFrame, n: int, tokens: np.ndarray) -> DataFrame:
-    """doc_id, class key, number of shingles, sketch and first-level nodes of every row."""
+    """doc_id, text hash, class key, number of shingles, sketch and first-level nodes of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,17 +139,18 @@ def sketches(docs: DataFrame, n: int, tokens: np.ndarray) -> DataFrame:
                         least[:, c] = np.minimum.reduceat(v, starts)
                 sketch: list = [None] * m
                 nodes: list = [[]] * m
-                low = (mix(least) >> np.uint64(56)).astype(np.uint8)
+                low = (mix(least) >> np.uint64(48)).astype(np.uint16)
                 child = mix(least[:, tokens] + mix(tokens.astype(np.uint64) + np.uint64(1))).view(np.int64)
                 for k, row in enumerate(filled.tolist()):
                     sketch[row] = low[k].tobytes()
                     nodes[row] = child[k]
-                names = ["doc_id", "cls", "n_shingles", "sketch", "nodes"]
+                names = ["doc_id", "text_hash", "cls", "n_shingles", "sketch", "nodes"]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, m), pa.array(keys), pa.array(size.astype(np.int64)), pa.array(sketch, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], names=names
+                    [batch.column("doc_id").slice(i, m), batch.column("text_hash").slice(i, m), pa.array(keys), pa.array(size.astype(np.int64)), pa.array(sketch, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], names=names
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, cls long, n_shingles long, sketch binary, nodes array<long>")
+    schema = "doc_id long, text_hash long, cls long, n_shingles long, sketch binary, nodes array<long>"
+    return docs.select("doc_id", "text", F.expr(TEXT_HASH).alias("text_hash")).mapInArrow(run, schema)
 
 
 def complete_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -141,197 +181,291 @@ def groups(keys: np.ndarray) -> Iterator[tuple[int, int]]:
         yield a, b
 
 
+def sketch_rows(col: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, COORDINATES)
+
+
+class Node:
+    """The members of a node that fits a task: finds edges that join all which agree, if a path brings them together."""
+
+    def __init__(self, s: np.ndarray, label: np.ndarray, least: int, key: int):
+        self.s, self.least, self.key = s, least, key
+        _, self.label = np.unique(label, return_inverse=True)
+        self.edges: list[tuple[int, int]] = []
+
+    def meet(self, a: int, others: np.ndarray) -> None:
+        """One edge to each label that ``a`` agrees with."""
+        others = others[self.label[others] != self.label[a]]
+        hit = others[(self.s[others] == self.s[a]).sum(1) >= self.least]
+        if len(hit):
+            labels, first = np.unique(self.label[hit], return_index=True)
+            self.edges += [(a, int(x)) for x in hit[first]]
+            self.label[np.isin(self.label, labels)] = self.label[a]
+
+    def solve(self) -> list[tuple[int, int]]:
+        todo = [(np.arange(len(self.s)), 0)]
+        turn = 0
+        while todo:
+            at, depth = todo.pop()
+            turn += 1
+            if len(at) > NODE and depth < 64:
+                for a in at[:: max(1, len(at) // 8)].tolist():
+                    self.meet(a, at)
+            labels, n = np.unique(self.label[at], return_counts=True)
+            if len(labels) == 1:
+                continue
+            stray = at[self.label[at] != labels[n.argmax()]]
+            if len(at) <= NODE or depth >= 64 or len(stray) <= len(at) // 16:
+                for a in stray.tolist():
+                    self.meet(a, at)
+                continue
+            for c in drawn(self.key + turn, DRAWS):
+                value = self.s[at, c]
+                order = np.argsort(value, kind="stable")
+                todo += [(at[order[x:y]], depth + 1) for x, y in groups(value[order]) if y - x > 1]
+        return self.edges
+
+
+EDGES = ["u", "v"]
+
+
 def node_edges(members: DataFrame, threshold: float) -> DataFrame:
-    """A forest of the pairs of each node whose sketches agree; both sides of a split node meet in one group."""
+    """A forest (u, v) of the members of each node that fits a task."""
     least = int(np.ceil((threshold - SLACK) * COORDINATES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in complete_groups(batches, "part"):
-            keys = rows.column("part").to_numpy()
-            ids = rows.column("cls").to_numpy()
-            flat = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        for rows in complete_groups(batches, "node"):
+            keys, ids, label, flat = (rows.column("node").to_numpy(), rows.column("cls").to_numpy(), rows.column("label").to_numpy(), sketch_rows(rows.column("sketch")))
             us: list[int] = []
             vs: list[int] = []
             for a, b in groups(keys):
-                if b - a < 2:
-                    continue
-                s = flat[a:b]
-                if b - a == 2:
-                    if (s[0] == s[1]).sum() >= least:
-                        us.append(int(ids[a]))
-                        vs.append(int(ids[a + 1]))
-                    continue
-                forest = Forest(b - a)
-                for k in range(b - a - 1):
-                    for x in np.flatnonzero((s[k + 1 :] == s[k]).sum(1) >= least).tolist():
-                        forest.join(k, k + 1 + x)
-                for x, y in forest.edges():
+                for x, y in Node(flat[a:b], label[a:b], least, int(keys[a])).solve():
                     us.append(int(ids[a + x]))
                     vs.append(int(ids[a + y]))
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=EDGES)
 
-    spread = members.repartition("part").sortWithinPartitions("part")
-    return spread.select("part", "cls", "sketch").mapInArrow(run, "u long, v long").distinct()
+    spread = members.select("node", "cls", "label", "sketch").repartition("node").sortWithinPartitions("node", "cls")
+    return spread.mapInArrow(run, "u long, v long").distinct()
 
 
-def split_nodes(members: DataFrame, level: int, threshold: float) -> DataFrame:
-    """The children of large nodes (node, cls, sketch)."""
+STAR = "u long, v long, node long, cls long, label long, sketch binary"
+_STAR = ["u", "v", "node", "cls", "label", "sketch"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, cls, index = [], [], []
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-            keys = batch.column("node").to_numpy()
-            ids = batch.column("cls").to_numpy()
-            for k in np.unique(keys):
-                at = np.flatnonzero(keys == k)
-                for c in sampled(int(k) & (1 << 64) - 1, level, threshold):
-                    value = mix(sketch[at, c].astype(np.uint64) + mix(np.array([int(k) & (1 << 64) - 1], np.uint64)) + np.uint64((int(c) + 1) << 8))
-                    node.append(value.view(np.int64))
-                    cls.append(ids[at])
-                    index.append(at)
-            if node:
-                take = pa.array(np.concatenate(index))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(node)), pa.array(np.concatenate(cls)), batch.column("sketch").take(take)], names=["node", "cls", "sketch"])
 
-    return members.select("node", "cls", "sketch").mapInArrow(run, "node long, cls long, sketch binary")
+def edge_batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(u), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), none, none, none, pa.nulls(len(u), pa.binary())], names=_STAR)
 
 
-def chunk_pairs(rows: DataFrame, key: str, size: str, limit: int, item: str) -> DataFrame:
-    """``part``: the pairs of chunks of its group that a row belongs to.
+def met(members: DataFrame, guests: DataFrame, threshold: float, relabel: bool) -> DataFrame:
+    """Edges (u, v) of the guests of every large node with its members; with ``relabel`` the members again, with their labels.
 
-    A group of at most ``limit`` rows is one part; a larger one is cut into g chunks and every row
-    goes to the g parts that pair its chunk with another or itself.
+    Members are dealt to parts of at most ``PART`` on average, and the guests go to each of them.
     """
-    g = F.ceil(F.col(size) / (limit / 2)).cast("int")
-    chunked = rows.withColumn("__g", F.when(F.col(size) <= limit, 1).otherwise(g)).withColumn("__c", F.pmod(F.xxhash64(item, F.lit(3)), F.col("__g")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("__g") - 1))
-    out = chunked.withColumn("__o", other)
-    return out.withColumn("lo", F.least("__c", "__o")).withColumn("hi", F.greatest("__c", "__o")).withColumn("chunk", F.col("__c")).withColumn("part", F.xxhash64(key, "lo", "hi")).drop("__g", "__c", "__o")
+    least = int(np.ceil((threshold - SLACK) * COORDINATES))
+    n_parts = F.ceil(F.col("size") / PART).cast("long")
+    part = lambda p: F.xxhash64("node", p).alias("part")
+    columns = ["node", "cls", "label", "sketch"]
+    each = guests.select("size", *columns, F.explode(F.sequence(F.lit(0).cast("long"), n_parts - 1)).alias("p")).select(part("p"), F.lit(0).alias("member"), *columns)
+    rows = members.select(part(F.pmod(F.xxhash64("cls", F.lit(3)), n_parts)), F.lit(1).alias("member"), *columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in complete_groups(batches, "part"):
+            kind, ids, labels, flat = (table.column("member").to_numpy(), table.column("cls").to_numpy(), table.column("label").to_numpy(), sketch_rows(table.column("sketch")))
+            for a, b in groups(table.column("part").to_numpy()):
+                first = a + int((kind[a:b] == 0).sum())
+                # guests that agree with each other have one label, the same in all parts of the node
+                own = Node(flat[a:first], labels[a:first], least, 0)
+                for k in range(first - a):
+                    own.meet(k, np.arange(first - a))
+                leader = labels[a:first].copy()
+                for x in np.unique(own.label):
+                    leader[own.label == x] = leader[own.label == x].min()
+                old = labels[first:b]
+                new = old.copy()
+                free = np.ones(b - first, bool)
+                us, vs = [leader], [labels[a:first]]
+                for k in range(first - a):
+                    agree = (flat[first:b] == flat[a + k]).sum(1) >= least
+                    other = np.unique(old[agree])
+                    us.append(np.full(len(other), leader[k]))
+                    vs.append(other)
+                    new[agree & free] = leader[k]
+                    free &= ~agree
+                u, v = np.concatenate(us), np.concatenate(vs)
+                yield edge_batch(u[u != v], v[u != v])
+                if relabel and b > first:
+                    none = pa.nulls(b - first, pa.int64())
+                    node, sketch = (table.column(c).slice(first, b - first).combine_chunks() for c in ("node", "sketch"))
+                    yield pa.RecordBatch.from_arrays([none, none, node, pa.array(ids[first:b]), pa.array(new), sketch], names=_STAR)
+
+    spread = rows.unionByName(each).repartition("part").sortWithinPartitions("part", "member", "cls")
+    return spread.mapInArrow(run, STAR)
+
+
+def split_nodes(members: DataFrame) -> DataFrame:
+    """The children of large nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, flat = batch.column("node").to_numpy(), sketch_rows(batch.column("sketch"))
+            for k in np.unique(keys):
+                at = np.flatnonzero(keys == k)
+                take = pa.array(at)
+                base = mix(np.array([k], np.int64).view(np.uint64))
+                for c in sampled(int(k)):
+                    child = mix(flat[at, c].astype(np.uint64) + base + np.uint64((int(c) + 1) << 16)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(child), *(batch.column(x).take(take) for x in ("cls", "label", "sketch"))], names=["node", "cls", "label", "sketch"])
+
+    return members.select("node", "cls", "label", "sketch").mapInArrow(run, "node long, cls long, label long, sketch binary")
 
 
 def candidates(classes: DataFrame, threshold: float) -> DataFrame:
     """Candidate forest (u, v) over the classes from all runs of the tree."""
-    rows = classes.select("cls", F.explode("nodes").alias("node"))
+    rows = classes.select(F.explode("nodes").alias("node"), "cls")
     busy = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-    members = rows.join(busy, "node").join(classes.select("cls", "sketch"), "cls")
+    members = salted_join(rows, busy, ["node"], "size").join(classes.select("cls", "sketch"), "cls").withColumn("label", F.col("cls"))
+    members = written(members.select("node", "size", "cls", "label", "sketch"), "nodes")
     found = None
-    for level in range(1, DEPTH + 1):
-        members = written(members.select("node", "size", "cls", "sketch"), "nodes")
-        last = level == DEPTH
-        small = members if last else members.filter(F.col("size") <= NODE)
-        edges = node_edges(chunk_pairs(small, "node", "size", NODE, "cls"), threshold)
+    while True:
+        edges = node_edges(members.filter(F.col("size") <= PART), threshold)
         found = edges if found is None else found.unionByName(edges)
-        large = members.filter(F.col("size") > NODE)
-        if last or large.isEmpty():
-            break
-        children = written(split_nodes(large, level, threshold), "children")
-        busy = children.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        members = children.join(busy, "node")
-    return found
-
-
-def exact_links(texts: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Per part: link weight of each class, and a forest (other) of the classes that link."""
+        large = members.filter(F.col("size") > PART)
+        if large.isEmpty():
+            return found
+        place = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("cls", F.lit(5)), "cls"))
+        pivots = large.withColumn("k", place).filter(F.col("k") <= PIVOTS).drop("k")
+        star = written(met(large, pivots, threshold, True), "star")
+        edge = lambda df: df.filter("u is not null").select("u", "v").distinct()
+        found = found.unionByName(edge(star))
+        left = star.filter("u is null").select("node", "cls", "label", "sketch")
+        per_label = left.groupBy("node", "label").agg(F.count("*").alias("n"))
+        nodes = per_label.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"))
+        nodes = nodes.select("node", "size", F.col("top.label").alias("top"), (F.col("size") - F.col("top.n")).alias("stray")).filter("stray > 0")
+        left = written(salted_join(left, nodes, ["node"], "size"), "left")
+        few = left.filter(F.col("stray") <= STRAY)
+        found = found.unionByName(edge(met(few, few.filter("label != top"), threshold, False)))
+        children = written(split_nodes(left.filter(F.col("stray") > STRAY)), "children")
+        busy = children.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
+        members = salted_join(children, busy.select("node", "size"), ["node"], "size")
+        members = written(members.select("node", "size", "cls", "label", "sketch"), "nodes")
+
+
+def exact_links(sets: DataFrame, threshold: float) -> DataFrame:
+    """Per block: link weight of each class, and a forest (other) of the classes that link.
+
+    A cluster is cut into chunks by a hash; a block compares two chunks, or one with itself.
+    """
+    g = F.greatest(F.ceil(F.col("size") / (CHUNK / 2)), F.ceil(F.col("shingles") / (CHUNK_SHINGLES / 2)), F.lit(1)).cast("int")
+    g = F.when((F.col("size") <= CHUNK) & (F.col("shingles") <= CHUNK_SHINGLES), 1).otherwise(g)
+    chunked = sets.withColumn("g", g).withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("g")).cast("int"))
+    rows = chunked.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    lo, hi = F.least("chunk", "o"), F.greatest("chunk", "o")
+    rows = rows.select(F.xxhash64("cluster", lo, hi).alias("part"), (lo == hi).alias("same"), "chunk", "cls", "copies", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in complete_groups(batches, "part"):
-            keys = rows.column("part").to_numpy()
-            for a, b in groups(keys):
-                yield _compare(rows.slice(a, b - a), n, threshold)
+            for a, b in groups(rows.column("part").to_numpy()):
+                yield _compare(rows.slice(a, b - a), threshold)
 
-    spread = texts.repartition("part").sortWithinPartitions("part")
-    return spread.select("part", "lo", "hi", "chunk", "cls", "copies", "text").mapInArrow(run, "cls long, links long, other long")
+    spread = rows.repartition("part").sortWithinPartitions("part")
+    return spread.mapInArrow(run, "cls long, links long, other long")
 
 
-def _compare(rows: pa.Table, n: int, threshold: float) -> pa.RecordBatch:
+def _compare(rows: pa.Table, threshold: float) -> pa.RecordBatch:
     m = rows.num_rows
     ids, copies, chunk = rows.column("cls").to_numpy(), rows.column("copies").to_numpy(), rows.column("chunk").to_numpy()
-    same = rows.column("lo")[0] == rows.column("hi")[0]
-    col = rows.column("text").combine_chunks()
-    pairs = []
-    for i, _, h, r, _ in sets_of(col, n):
-        pairs.append((h, r + i))
-    h, r = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-    order = np.lexsort((r, h))
-    h, r = h[order], r[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    h, r = h[first], r[first]
-    size = np.bincount(r, minlength=m)
+    raw = rows.column("hashes").to_pylist()
+    size = np.array([len(x) // 8 for x in raw], np.int64)
+    h, r = np.frombuffer(b"".join(raw), np.uint64), np.repeat(np.arange(m), size)
     _, column, count = np.unique(h, return_inverse=True, return_counts=True)
     shared = count[column] > 1
     names = np.flatnonzero(count > 1)
     column, r = np.searchsorted(names, column[shared]), r[shared]
+    order = np.argsort(column, kind="stable")
+    column, r = column[order], r[order]
     both = np.zeros((m, m), np.float32)
     step = max(1, (4 << 20) // max(1, m))  # columns at a time: at most 16 MB
     for c in range(0, len(names), step):
-        inside = (column >= c) & (column < c + step)
+        i, j = np.searchsorted(column, (c, c + step))
         x = np.zeros((m, min(step, len(names) - c)), np.float32)
-        x[r[inside], column[inside] - c] = 1
+        x[r[i:j], column[i:j] - c] = 1
         both += x @ x.T
-    common = both.astype(np.float64)
-    linked = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-9
-    linked &= common > 0
+    linked = both >= threshold * (size[:, None] + size[None, :] - both.astype(np.float64)) - 1e-9
+    linked &= both > 0
     np.fill_diagonal(linked, False)
-    if not same:
+    if not rows.column("same")[0].as_py():
         linked &= chunk[:, None] != chunk[None, :]  # pairs inside a chunk are compared elsewhere
-    forest = Forest(m)
-    for a in range(m):
-        for b in np.flatnonzero(linked[a, a + 1 :]).tolist():
-            forest.join(a, a + 1 + b)
-    root = [forest.find(x) for x in range(m)]
+    root = np.arange(m)
+    reached = np.zeros(m, bool)
+    for first in range(m):
+        if reached[first]:
+            continue
+        reached[first] = True
+        todo = [first]
+        while todo:
+            new = np.flatnonzero(linked[todo.pop()] & ~reached)
+            reached[new] = True
+            root[new] = first
+            todo += new.tolist()
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(linked @ copies), pa.array(ids[root])], names=["cls", "links", "other"])
 
 
-def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, runs: int = RUNS) -> DataFrame:
-    """doc_id, class_id (smallest id of the texts with the same words), n_links, component_id, kept.
+def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, text_hash, class_id (smallest id of the texts with the same words), n_links, component_id, kept.
 
     n_links counts all other rows whose set has Jaccard similarity >= threshold, copies
     included. component_id is the smallest id reachable by links; kept marks one row of each
-    component (of rows with equal id and text all are marked).
+    component (of rows with equal id and text all are marked), and every row without words.
     """
-    tokens = root_tokens(runs, threshold)
-    rows = written(sketches(docs, n, tokens), "sketches")
+    rows = written(sketches(docs, n, root_tokens(threshold, recall)), "sketches")
     filled = rows.filter("n_shingles > 0")
-    classes = filled.groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.min(F.struct("sketch", "nodes")).alias("x"))
-    classes = written(classes.select("cls", "class_id", "copies", "x.sketch", "x.nodes"), "classes")
+    named = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    classes = filled.groupBy("cls").agg(F.min(named).alias("rep"), F.count("*").alias("copies"), F.min(F.struct("n_shingles", "sketch", "nodes")).alias("x"))
+    classes = classes.select("cls", F.col("rep.doc_id").alias("class_id"), F.col("rep.text_hash").alias("text_hash"), "copies", "x.n_shingles", "x.sketch", "x.nodes")
+    classes = written(classes, "classes")
     clusters = components(candidates(classes, threshold))
     clusters = clusters.select(F.col("id").alias("cls"), F.col("component").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    # a class's text is found by its smallest id, and checked by its words
-    pick = written(classes.join(clusters, "cls").join(sizes, "cluster").select("class_id", "cls", "copies", "cluster", "size"), "picked")
-    small = pick.count() <= BROADCAST_ROWS
-    picked = F.broadcast(pick) if small else pick
-    texts = docs.select("doc_id", "text").filter(F.length(F.coalesce("text", F.lit(""))) > 0).join(picked, F.col("doc_id").eqNullSafe(F.col("class_id")))
-    texts = written(_matching(texts, n), "cluster_texts")
-    links = written(exact_links(chunk_pairs(texts, "cluster", "size", CHUNK, "cls"), n, threshold), "links")
+    picked = written(classes.join(clusters, "cls").select("class_id", "text_hash", "cls", "copies", "cluster", "n_shingles"), "picked")
+    sizes = picked.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles"))
+    sets = written(shingle_sets(docs, picked, n), "cluster_sets")
+    links = written(exact_links(sets.join(sizes, "cluster"), threshold), "links")
     counted = links.groupBy("cls").agg(F.sum("links").alias("links"))
     joined = components(links.filter("cls != other").select(F.col("cls").alias("u"), F.col("other").alias("v")))
-    named = classes.select("cls", "class_id", "copies").join(counted, "cls", "left").join(joined.withColumnRenamed("id", "cls"), "cls", "left")
+    named = classes.select("cls", "class_id", "text_hash", "copies").join(counted, "cls", "left").join(joined.withColumnRenamed("id", "cls"), "cls", "left")
     named = named.withColumn("component", F.coalesce("component", "cls"))
-    heads = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = named.join(heads, "component").select("cls", "class_id", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = filled.select("doc_id", "cls").join(named, "cls").select("doc_id", "class_id", "n_links", "component_id")
-    alone = rows.filter("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    heads = named.groupBy("component").agg(F.min(F.struct(F.col("class_id").isNull().alias("last"), "class_id", "text_hash")).alias("head"))
+    named = named.join(heads, "component").select("cls", "copies", "class_id", "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = salted_join(filled.select("doc_id", "text_hash", "cls"), written(named, "named"), ["cls"], "copies")
+    kept = F.col("doc_id").eqNullSafe(F.col("head.class_id")) & (F.col("text_hash") == F.col("head.text_hash"))
+    out = out.select("doc_id", "text_hash", "class_id", "n_links", F.col("head.class_id").alias("component_id"), kept.alias("kept"))
+    own = F.col("doc_id")
+    alone = rows.filter("n_shingles = 0").select("doc_id", "text_hash", own.alias("class_id"), F.lit(0).cast("long").alias("n_links"), own.alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(alone)
+
 
+def shingle_sets(docs: DataFrame, picked: DataFrame, n: int) -> DataFrame:
+    """cls, cluster, copies and the hashed shingles of one text of every picked class.
 
-def _matching(texts: DataFrame, n: int) -> DataFrame:
-    """One text per class: rows of equal id may have other texts, and one class several rows."""
+    Texts are found by their id and hash, so ids that name many texts bring no others.
+    """
+    keys = picked.select("class_id", "text_hash", "cls", "copies", "cluster")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    rows = docs.select("doc_id", "text", F.expr(TEXT_HASH).alias("text_hash")).filter("text != ''")
+    found = rows.join(keys, rows["doc_id"].eqNullSafe(keys["class_id"]) & (rows["text_hash"] == keys["text_hash"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            cls = batch.column("cls").to_numpy()
-            for i, j, _, _, keys in sets_of(batch.column("text"), n):
-                good[i:j] = keys == cls[i:j]
-            yield batch.filter(pa.array(good))
+            for i, j, h, r, _ in sets_of(batch.column("text"), n):
+                cuts = np.searchsorted(r, np.arange(j - i + 1))
+                sets = [np.unique(h[a:b]).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cls", "cluster", "copies")), pa.array(sets, pa.binary())], names=["cls", "cluster", "copies", "hashes"])
 
-    kept = texts.select("cls", "copies", "cluster", "size", "text").mapInArrow(run, "cls long, copies long, cluster long, size long, text string")
-    return kept.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("copies", "cluster", "size", "text")))
+    sets = found.select("cls", "cluster", "copies", "text").mapInArrow(run, "cls long, cluster long, copies long, hashes binary")
+    return sets.dropDuplicates(["cls"])
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, five-word shingles, Jaccard similarity of 0.8 or more."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
