@@ -7,14 +7,18 @@ language lacks is a phrase of its own). Cross-parsing entropy per symbol is
 phrases * log2(sample size) / symbols; the language with the lowest value wins.
 
 Symbols are the letters of the lower-cased text; each run of other characters is one blank.
-Whole texts are parsed, in pieces of ``PIECE`` symbols that run in parallel as lanes of NumPy
-arrays; a phrase ends where a piece ends, alike for all languages. No shuffle takes place; the
-automata, whose size is bounded by ``SAMPLE_CHARS`` and ``SYMBOLS``, are broadcast.
+Whole texts are parsed. Long ones are cut into pieces of ``PIECE`` symbols that run in parallel as lanes
+of NumPy arrays, each as if a phrase began there; then the true parse is carried over every cut until it
+meets a phrase that the piece has as well, from where on both are the same. So phrases do not end at
+cuts. No shuffle takes place; the automata are broadcast.
+
+Transitions of the commonest letters are a table, of at most ``TABLE`` entries for all languages together;
+those of the other letters of the samples are sorted keys. No letter is left out of a sample.
 
 Bounds of the fit (the prediction itself has none): per language at most ``SAMPLE_DOCS``
 documents in the order of a hash of their id, of which whole texts are taken while at most
-``SAMPLE_CHARS`` characters are used (if none fits, the start of the first); the ``SYMBOLS``
-commonest letters of the sample are told apart.
+``SAMPLE_CHARS`` characters are used, fewer where there are so many languages that all samples together
+would pass ``ALL_CHARS`` (if none fits, the start of the first). Only these texts come to the driver.
 
 Defined results: a text that is null or has no letter gets ``und`` and score 0; ties go to the
 smaller name; with one language learned the score is 1, with none all rows get ``und``; rows
@@ -36,7 +40,9 @@ from tracewell.llm.bytesops import trim
 
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 24_000
+ALL_CHARS = 4_000_000
 SYMBOLS = 255
+TABLE = 1 << 26
 PIECE = 2048
 UNKNOWN = "und"
 
@@ -88,40 +94,44 @@ class Model:
     """Automata of all languages in one transition table.
 
     Row 0 is 'no transition'. Each language has a row without transitions (a phrase of one
-    unknown symbol has ended there, as before the first symbol) and then its automaton.
+    unknown symbol has ended there, as before the first symbol) and then its automaton. Symbols are
+    0 (blank), 1.. by falling frequency, and one without transitions for letters of no sample.
     """
 
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, str], table: int = TABLE):
         self.langs = sorted(k for k, v in samples.items() if v.strip())
         texts = {k: collapse(samples[k]) for k in self.langs}
-        common = Counter("".join(texts.values()).replace(" ", "")).most_common(SYMBOLS - 2)
-        self.alphabet = {c: i + 1 for i, (c, _) in enumerate(sorted(common))}
-        self.other = len(self.alphabet) + 1
-        self.width = self.other + 1
-        rows, first, self.empty = [np.zeros((1, self.width), np.int32)], 1, []
-        again = []
-        for k in self.langs:
-            ids = [0 if c == " " else self.alphabet.get(c, -1) for c in texts[k]]
-            go = suffix_automaton([i for i in ids if i >= 0])
-            table = np.zeros((len(go) + 1, self.width), np.int32)
+        common = Counter("".join(texts.values()).replace(" ", ""))
+        ordered = sorted(common, key=lambda c: (-common[c], c))
+        self.alphabet = {c: i + 1 for i, c in enumerate(ordered)}
+        self.other = len(ordered) + 1
+        automata = [suffix_automaton([0 if c == " " else self.alphabet[c] for c in texts[k]]) for k in self.langs]
+        states = 1 + sum(len(go) + 1 for go in automata)
+        self.width = max(1, min(len(ordered) + 1, SYMBOLS, table // states))
+        dense = np.zeros((states, self.width), np.int32)
+        first, self.empty, self.start, keys, goals = 1, [], [], [], []
+        for go in automata:
+            self.empty.append(first)
+            self.start.append(first + 1)
             for s, moves in enumerate(go):
                 for c, t in moves.items():
-                    table[s + 1, c] = first + 1 + t
-            self.empty.append(first)
-            start = table[1].copy()
-            start[start == 0] = first
-            again.append(start)
-            rows.append(table)
-            first += len(table)
-        self.table = np.concatenate(rows).ravel()
-        self.again = np.array(again, np.int32).reshape(len(self.langs), self.width)
+                    if c < self.width:
+                        dense[first + 1 + s, c] = first + 1 + t
+                    else:
+                        keys.append((first + 1 + s) * (self.other + 1) + c)
+                        goals.append(first + 1 + t)
+            first += len(go) + 1
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.goals = np.array(keys, np.int64)[order], np.array(goals, np.int32)[order]
+        self.table = dense.ravel()
         self.weight = np.array([np.log2(max(2, len(texts[k]))) for k in self.langs])
+        self.empty, self.start = (np.array(x, np.int32)[:, None] for x in (self.empty, self.start))
         self._codes = None
 
     def codes(self) -> np.ndarray:
-        """Symbol of every code point; 255 stands for a non-letter."""
+        """Symbol of every code point; -1 stands for a non-letter."""
         if self._codes is None:
-            out = np.fromiter((self.other if chr(i).isalpha() else 255 for i in range(0x110000)), np.uint8, 0x110000)
+            out = np.fromiter((self.other if chr(i).isalpha() else -1 for i in range(0x110000)), np.int32, 0x110000)
             for c, i in self.alphabet.items():
                 out[ord(c)] = i
             self._codes = out
@@ -137,35 +147,80 @@ class Model:
         s = self.codes()[points]
         sizes = np.array([len(t) for t in low], np.int64)
         row = np.repeat(np.arange(len(low), dtype=np.int32), sizes)
-        blank = s == 255
+        blank = s < 0
         keep = np.ones(len(s), bool)
         keep[1:] = ~(blank[1:] & blank[:-1] & (row[1:] == row[:-1]))
         letters = np.bincount(row[~blank], minlength=len(low)) > 0
-        s = s[keep]
-        s[s == 255] = 0
+        s = np.maximum(s[keep], 0)
         return s, np.bincount(row[keep], minlength=len(low)), letters
 
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The next state of every lane (languages x lanes) for its symbol; 0 where there is none."""
+        rare = c >= self.width
+        if not rare.any():
+            return self.table[state * np.int32(self.width) + c]
+        out = self.table[state * np.int32(self.width) + np.where(rare, 0, c)]
+        at = np.flatnonzero(rare)
+        key = state[:, at].astype(np.int64) * (self.other + 1) + c[at]
+        if len(self.keys):
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out[:, at] = np.where(self.keys[k] == key, self.goals[k], 0)
+        else:
+            out[:, at] = 0
+        return out
+
+    def move(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state after each lane's symbol, and whether the symbol begins a phrase."""
+        after = self.step(state, c)
+        new = after == 0
+        if new.any():
+            again = self.step(np.broadcast_to(self.start, state.shape), c)
+            after = np.where(new, np.where(again == 0, self.empty, again), after)
+        return after, new
+
     def phrases(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Phrases of every text in every language (languages x texts)."""
         start, length, owner = pieces(sizes)
         order = np.argsort(-length, kind="stable")
-        start, length, owner = start[order], length[order], owner[order]
-        state = np.repeat(np.array(self.empty, np.int32)[:, None], len(start), 1)
-        count = np.zeros(state.shape, np.int32)
-        live = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), "right")
-        width = np.int32(self.width)
+        lanes, n = start[order], length[order]
+        begins = np.zeros((len(self.langs), len(symbols)), bool)
+        state = np.broadcast_to(self.empty, (len(self.langs), len(start))).copy()
+        live = np.searchsorted(-n, -np.arange(1, (n[0] if len(n) else 0) + 1), "right")
         for t, k in enumerate(live):
-            c = symbols[start[:k] + t]
-            nxt = self.table[state[:, :k] * width + c]
-            miss = nxt == 0
-            count[:, :k] += miss
-            np.copyto(nxt, self.again[:, c], where=miss)
-            state[:, :k] = nxt
+            state[:, :k], begins[:, lanes[:k] + t] = self.move(state[:, :k], symbols[lanes[:k] + t])
+        end = np.empty_like(state)
+        end[:, order] = state
         out = np.zeros((len(self.langs), len(sizes)), np.int64)
-        for i in range(len(self.langs)):
-            out[i] = np.bincount(owner, weights=count[i], minlength=len(sizes))
+        filled = np.flatnonzero(sizes)
+        if len(filled):
+            # += : texts without symbols keep 0
+            out[:, filled] = np.add.reduceat(begins, (np.cumsum(sizes) - sizes)[filled], axis=1, dtype=np.int64)
+        self._carry(symbols, begins, start, length, owner, end, out)
         return out
 
+    def _carry(self, symbols, begins, start, length, owner, end, out) -> None:
+        """Corrects ``out`` for phrases that run over cuts: piece after piece, all texts at once."""
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        for k in range(1, int(place.max(initial=0)) + 1):
+            at = np.flatnonzero(place == k)
+            state = end[:, at - 1].copy()
+            # texts whose parse has not met the piece's yet, in any language
+            apart = np.ones(state.shape, bool)
+            lanes = np.arange(len(at))
+            for t in range(PIECE):
+                lanes = lanes[(length[at[lanes]] > t) & apart[:, lanes].any(0)]
+                if not len(lanes):
+                    break
+                where = start[at[lanes]] + t
+                after, new = self.move(state[:, lanes], symbols[where])
+                state[:, lanes] = after
+                guess = begins[:, where]
+                still = apart[:, lanes]
+                out[:, owner[at[lanes]]] += still * (new.astype(np.int64) - guess)
+                apart[:, lanes] = still & ~(new & guess)
+            # where they never met, the true parse goes on
+            end[:, at] = np.where(apart, state, end[:, at])
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         symbols, sizes, letters = self.symbols(texts)
         if not self.langs:
@@ -191,30 +246,43 @@ def pieces(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, np.minimum(PIECE, (base + sizes)[owner] - start), owner
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, all_chars: int = ALL_CHARS) -> Model:
     """Learn from rows with a language that are not held out; see the module for the bounds."""
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    order = F.xxhash64("doc_id", F.lit("sample"))
-    ranked = rows.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id")).alias("rank"))
-    chosen = ranked.filter(F.col("rank") <= sample_docs)  # Spark limits each group before it shuffles
-    found = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
-    texts: dict[str, list[tuple]] = {}
-    for r in found.withColumn("order", order).select("lang", "order", "doc_id", "text").collect():
-        texts.setdefault(r["lang"], []).append((r["order"], r["doc_id"], r["text"]))
-    samples = {}
-    for lang, own in texts.items():
-        taken, room = [], sample_chars
-        for _, _, text in sorted(own):
-            if len(text) < room:
-                taken.append(text)
-                room -= len(text) + 1
-        samples[lang] = " ".join(taken) if taken else sorted(own)[0][2][:sample_chars]
-    return Model(samples)
+    key = ["lang", "order", "doc_id", "text_hash"]
+    keyed = rows.select("lang", F.xxhash64("doc_id", F.lit("sample")).alias("order"), "doc_id", F.xxhash64("text").alias("text_hash"), F.length("text").alias("size"), "text")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id", "text_hash"))
+    ranked = keyed.select(*key, "size").withColumn("rank", place)
+    chosen = ranked.filter(F.col("rank") <= sample_docs).collect()  # Spark limits each group before it shuffles
+    langs: dict[str, list] = {}
+    for r in sorted(chosen, key=lambda r: (r["lang"], r["rank"])):
+        langs.setdefault(r["lang"], []).append(r)
+    room = min(sample_chars, all_chars // max(1, len(langs)))
+    wanted, seen = [], set()
+    for own in langs.values():
+        left = room
+        for r in own:
+            k = tuple(r[c] for c in key)
+            if r["size"] < left and k not in seen:  # a repeated row is taken once
+                seen.add(k)
+                wanted.append((*k, r["size"]))
+                left -= r["size"] + 1
+        if left == room:
+            wanted.append((*(own[0][c] for c in key), room))
+    samples: dict[str, list[tuple]] = {}
+    if wanted:
+        kinds = dict(keyed.dtypes)
+        keys = docs.sparkSession.createDataFrame(wanted, ", ".join(f"`{c}` {kinds[c]}" for c in key) + ", take long")
+        found = keyed.select(*key, "text").join(F.broadcast(keys), key).groupBy(*key).agg(F.first(F.expr("substring(text, 1, int(take))")).alias("text"))
+        for r in found.collect():
+            samples.setdefault(r["lang"], []).append((r["order"], r["doc_id"], r["text"]))
+    return Model({lang: " ".join(t for _, _, t in sorted(own)) for lang, own in samples.items()})
 
 
 def labelled(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with the columns __lang and __score."""
+    """``docs`` with the columns __lang and __score, which replace any of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("__lang", "__score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,8 +290,9 @@ def labelled(docs: DataFrame, model: Model) -> DataFrame:
             pred: list[str] = []
             score: list[np.ndarray] = [np.zeros(0)]
             i = 0
+            room_of = max(1 << 16, (6 << 20) // max(1, len(shared.value.langs)))
             while i < len(texts):
-                j, room = i, 3 << 20
+                j, room = i, room_of
                 while j < len(texts) and (j == i or room >= len(texts[j])):
                     room -= len(texts[j])
                     j += 1
@@ -245,8 +314,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has a language; ``und`` is rejected."""
-    return labelled(docs, fit(docs)).filter(F.col("__lang") != UNKNOWN).drop("__lang", "__score")
+    """The rows of ``docs`` whose text has a language, all columns as they are; ``und`` is rejected."""
+    clash = {c: f"__kept{c}" for c in ("__lang", "__score") if c in docs.columns}
+    kept = labelled(docs.withColumnsRenamed(clash), fit(docs)).filter(F.col("__lang") != UNKNOWN).drop("__lang", "__score")
+    return kept.withColumnsRenamed({v: k for k, v in clash.items()})
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
