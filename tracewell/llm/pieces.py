@@ -8,9 +8,11 @@ backward sampling then walks from the end and draws each piece with its exact co
 probability. Draws come from a counter-based generator keyed by (seed, row key, place), so a
 row's segmentation does not depend on partitions, batches or retries.
 
-Pieces never reach across the start of a run of blanks, nor across a line end, so the lattice
-falls apart into units there and equal units share one forward pass. A unit longer than ``UNIT``
-bytes is cut at code points.
+Where no piece of the vocabulary can reach across, at the start of a run of blanks or around a line
+end, the lattice falls apart into units, and equal units share one forward pass. Units of more than
+``UNIT`` bytes (text without blanks) keep their whole lattice: their forward sums are scaled as they go and
+kept, one number a byte, and backward sampling finds the pieces that end at a place again, from
+right to left. So no place is a border by itself, however long the unit.
 
 A code point outside the vocabulary is spelt with the byte pieces, as is the blank symbol itself
 when a text contains it; so decoding is lossless for every text: pieces give bytes, blanks are
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.bytesops import mix, owners, prefix_sums, slices, span_hash, text_buffers, trim
 
+#: Units of at most so many bytes keep the edges of their lattice.
 UNIT = 48
 #: Bytes encoded together, and distinct units of a lattice.
 SLICE, LATTICE = 4 << 20, 1 << 15
@@ -74,10 +77,14 @@ class Vocabulary:
         self.byte_weight = (n + 2.0) ** -alpha
         nodes: dict[tuple[int, int], int] = {}
         self.piece_at = [-1]
+        # borders hold if no piece crosses them
+        self.cut_blanks = not any(b" " in self.strings[i].lstrip(b" ") for i in ranks)
+        self.cut_lines = not any(b"\n" in self.strings[i] and len(self.strings[i]) > 1 for i in ranks)
+        self.longest = max((len(self.strings[i]) for i in ranks), default=1)
+        self.ranks = list(ranks)
+        self._reverse = None
         for i in ranks:
             s = self.strings[i]
-            if b" " in s.lstrip(b" ") or b"\n" in s[1:] or len(s) > UNIT:
-                continue  # would cross a unit's end
             node = 0
             for b in s:
                 node = nodes.setdefault((node, b), len(nodes) + 1)
@@ -107,6 +114,27 @@ class Vocabulary:
             out[far] = np.where(self.keys[at] == k, self.goal[at], -1)
         return out
 
+    def __getstate__(self):
+        return self.__dict__ | {"_reverse": None}
+
+    def reverse(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, goals and pieces of the trie of the pieces read from right to left."""
+        if self._reverse is None:
+            nodes: dict[tuple[int, int], int] = {}
+            piece = {}
+            for i in self.ranks:
+                node = 0
+                for b in reversed(self.strings[i]):
+                    node = nodes.setdefault((node, b), len(nodes) + 1)
+                piece[node] = i
+            keys = np.array([a * 256 + b for a, b in nodes], np.int64)
+            order = np.argsort(keys)
+            at = np.full(len(nodes) + 1, -1, np.int32)
+            for node, i in piece.items():
+                at[node] = i
+            self._reverse = keys[order], np.array(list(nodes.values()), np.int64)[order], at
+        return self._reverse
+
     # -- encoding ---------------------------------------------------------------------------
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray, keys: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +148,7 @@ class Vocabulary:
         if not len(text):
             return np.zeros(0, np.int32), np.zeros(len(sizes) + 1, np.int64)
         text[np.arange(len(buf)) + np.cumsum(lead)[row]] = buf
-        u_start, u_stop = units(text, starts[lead > 0])
+        u_start, u_stop = units(text, starts[lead > 0], self.cut_blanks, self.cut_lines)
         size = u_stop - u_start
         _, sample, kind = np.unique(unit_hashes(text, u_start, u_stop), return_index=True, return_inverse=True)
         by_size = np.argsort(size[sample], kind="stable")
@@ -134,7 +162,13 @@ class Vocabulary:
         u_row = owners(u_start, bounds)
         origin = starts[rows_with][u_row]
         u_seed = seeds[rows_with][u_row]
-        order = np.argsort(kind)
+        long = size[sample] > UNIT
+        for some in batches_of(size[sample], np.flatnonzero(long), self.longest):
+            at = np.flatnonzero(np.isin(kind, some))
+            chain = LongUnits(self, text, u_start[sample[some]], size[sample[some]])
+            chain.sample(np.searchsorted(some, kind[at]), u_start[at], size[at], origin[at], u_seed[at], chosen)
+        sample = sample[~long]  # the kinds are in the order of size, so the short ones are the first
+        order = np.argsort(kind)[: int((~long[kind]).sum())]
         cuts = np.searchsorted(kind[order], np.arange(0, len(sample) + LATTICE, LATTICE))
         for k in range(len(cuts) - 1):
             some, at = sample[k * LATTICE : (k + 1) * LATTICE], order[cuts[k] : cuts[k + 1]]
@@ -159,27 +193,124 @@ class Vocabulary:
         return out[keep], bounds - np.concatenate([[0], np.cumsum(filled)])
 
 
-def units(text: np.ndarray, row_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the units: at row starts, before runs of blanks, around line ends, at most UNIT bytes."""
+def units(text: np.ndarray, row_starts: np.ndarray, cut_blanks: bool = True, cut_lines: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the units: at row starts, and where no piece reaches across: before runs of blanks, around line ends."""
     blank, line = text == 0x20, text == 0x0A
-    cut = line.copy()
-    cut[1:] |= line[:-1]
-    cut[1:] |= blank[1:] & ~blank[:-1]
+    cut = line.copy() if cut_lines else np.zeros(len(text), bool)
+    if cut_lines:
+        cut[1:] |= line[:-1]
+    if cut_blanks:
+        cut[1:] |= blank[1:] & ~blank[:-1]
     cut[row_starts] = True
     start = np.flatnonzero(cut)
-    stop = np.append(start[1:], len(text))
-    long = np.flatnonzero(stop - start > UNIT)
-    if len(long):
-        more = []
-        for a, b in zip(start[long].tolist(), stop[long].tolist(), strict=True):
-            while b - a > UNIT:
-                a += UNIT
-                while text[a] & 0xC0 == 0x80:
-                    a -= 1
-                more.append(a)
-        start = np.sort(np.concatenate([start, np.array(more, np.int64)]))
-        stop = np.append(start[1:], len(text))
-    return start, stop
+    return start, np.append(start[1:], len(text))
+
+
+#: Forward sums held at once by long units.
+CELLS = 1 << 21
+
+
+def batches_of(size: np.ndarray, some: np.ndarray, extra: int) -> Iterator[np.ndarray]:
+    """The given indexes, in the order of size, so many at a time that their sums fit ``CELLS``, or one."""
+    i = 0
+    while i < len(some):
+        j = i + 1
+        while j < len(some) and (j + 1 - i) * (int(size[some[j]]) + extra) <= CELLS:
+            j += 1
+        yield some[i:j]
+        i = j
+
+
+class LongUnits:
+    """Forward sums of long distinct units, scaled by powers of two, and sampling of their paths from the end."""
+
+    def __init__(self, vocab: Vocabulary, text: np.ndarray, start: np.ndarray, size: np.ndarray):
+        self.vocab, self.text = vocab, text
+        n, reach = int(size.max()), vocab.longest
+        by_size = np.argsort(-size, kind="stable")
+        self.lane = np.empty(len(size), np.int64)
+        self.lane[by_size] = np.arange(len(size))
+        start, size = start[by_size], size[by_size]
+        padded = np.concatenate([text, np.zeros(n + reach + 4, np.uint8)])
+        self.total = total = np.zeros((len(size), n + reach + 4))
+        self.shift = shift = np.zeros((len(size), n + 1), np.int64)
+        scale = np.zeros(len(size), np.int64)
+        total[:, 0] = 1
+        for i in range(n):
+            m = int(np.searchsorted(-size, -i, "left"))
+            if i % 4 == 0:
+                top = np.frexp(total[:m, i : i + reach + 1].max(1))[1].astype(np.int64)
+                total[:m, i : i + reach + 4] = np.ldexp(total[:m, i : i + reach + 4], -top[:, None])
+                scale[:m] += top
+            shift[:m, i] = scale[:m]
+            lane = np.flatnonzero(total[:m, i] > 0)
+            if not len(lane):
+                continue
+            head = padded[start[lane] + i]
+            point = 1 + (head >= 0xC0).astype(np.int64) + (head >= 0xE0) + (head >= 0xF0)
+            lone = np.ones(len(lane), bool)
+            live, node, k = np.arange(len(lane)), np.zeros(len(lane), np.int32), 0
+            while len(live):
+                k += 1
+                ok = k <= size[lane[live]] - i
+                live, node = live[ok], node[ok]
+                node = vocab.step(node, padded[start[lane[live]] + i + k - 1])
+                live, node = live[node >= 0], node[node >= 0]
+                piece = vocab.piece_at[node]
+                full = piece >= 0
+                at = live[full]
+                lone[at[point[at] == k]] = False
+                total[lane[at], i + k] += total[lane[at], i] * vocab.weight[piece[full]]
+            at = np.flatnonzero(lone)
+            total[lane[at], i + point[at]] += total[lane[at], i] * vocab.byte_weight ** point[at]
+        done = size - 1
+        shift[np.arange(len(size)), size] = shift[np.arange(len(size)), done]
+
+    def sample(self, kind, start, left, origin, seeds, chosen) -> None:
+        """As ``Lattice.sample``."""
+        keys, goals, piece_at = self.vocab.reverse()
+        lane = self.lane[kind]
+        while len(start):
+            end = start + left
+            weight = np.zeros((len(start), self.vocab.longest + 4))
+            which = np.full(weight.shape, -1, np.int64)
+            live, node, k = np.arange(len(start)), np.zeros(len(start), np.int64), 0
+            part = lambda at, k: np.ldexp(self.total[lane[at], left[at] - k], np.clip(self.shift[lane[at], left[at] - k] - self.shift[lane[at], left[at]], -2000, 2000))
+            while len(live):
+                k += 1
+                live, node = live[k <= left[live]], node[k <= left[live]]
+                key = node * 256 + self.text[end[live] - k]
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                ok = keys[at] == key
+                live, node = live[ok], goals[at[ok]]
+                piece = piece_at[node]
+                full = piece >= 0
+                a = live[full]
+                weight[a, k - 1] = part(a, k) * self.vocab.weight[piece[full]]
+                which[a, k - 1] = piece[full]
+            point = np.ones(len(start), np.int64)
+            for j in (1, 2, 3):
+                at = point == j
+                point[at] += (self.text[end[at] - j] & 0xC0) == 0x80
+            spell = np.flatnonzero(which[np.arange(len(start)), point - 1] < 0)
+            for a in (spell[point[spell] == j] for j in (1, 2, 3, 4)):
+                if len(a):
+                    j = int(point[a[0]])
+                    weight[a, j - 1] = part(a, j) * self.vocab.byte_weight**j
+            run = np.cumsum(weight, 1)
+            r = mix(seeds ^ ((end - origin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            r = (r >> np.uint64(11)).astype(np.float64) * 2.0**-53 * run[:, -1]
+            n = np.minimum((run <= r[:, None]).sum(1), weight.shape[1] - 1)
+            n = np.where(weight[np.arange(len(n)), n] > 0, n, weight.argmax(1)) + 1
+            piece = which[np.arange(len(n)), n - 1]
+            taken = piece >= 0
+            chosen[(end - 1)[taken]] = piece[taken]
+            for j in (1, 2, 3, 4):
+                at = (end - j)[~taken & (n >= j)]
+                chosen[at] = self.vocab.byte_ids[self.text[at]]
+            left = left - n
+            more = left > 0
+            start, left, lane, origin, seeds = start[more], left[more], lane[more], origin[more], seeds[more]
 
 
 def unit_hashes(text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
