@@ -1,7 +1,7 @@
 """Personal data by patterns, and information-theoretic sanitisation of what surrounds it.
 
 Patterns give the base spans (email, ip, card, phone; see ``base_spans``). Their values are the
-protected entities. A term is a word of at least ``MIN_LETTERS`` letters outside all base spans,
+protected entities. A term is any word outside all base spans, numbers and words with digits too,
 anywhere in a document with an entity. Over the whole corpus, with documents as the unit,
 
     IC(e) = log(N / df(e))                         information the entity carries
@@ -11,14 +11,16 @@ anywhere in a document with an entity. Over the whole corpus, with documents as
 so 1 means that the term stands for the entity. Every pair seen is rated, entities of a single
 document too: joint / df(t) is taken as (joint + s * df(e) / N) / (df(t) + s), s = ``SMOOTH``
 documents of which the share df(e) / N has the entity, so few documents count as weak evidence.
-Terms of disclosure >= ``REMOVE`` are removed and those >= ``GENERALISE`` are replaced by a
-class word, by the entity they disclose most and wherever they stand, also in documents
-without an entity; both give spans of kind ``term``. Base spans always stay.
+Terms of disclosure >= ``REMOVE`` are removed and those >= ``GENERALISE`` are replaced by the word of
+their class (number, code, name or word), by the entity they disclose most and wherever they stand, also in
+documents without an entity; both give spans of kind ``term``. Base spans always stay spans; in the
+sanitised text their kind stands for them.
 
 Scale: no text is shuffled. A first pass sends (entity, term) counts, added up per batch, of the
 documents that hold an entity; a second one document counts of words. Rates are joined by
 term, per term and frequency of entity. A last pass finds the decided terms in all texts; their
-keys travel in groups of ``GROUP_KEYS``, each searched in turn, so the broadcast is bounded.
+keys travel in groups of ``GROUP_KEYS``, each searched in turn, so the broadcast is bounded. A very long text is
+read in one piece, in time linear in its length and spans.
 
 Defined results: a null text is empty (no spans, hash of the empty string); every row gives one
 row, repeated rows too; null ids stay null; empty tables give empty results; extra columns are
@@ -36,9 +38,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.bytesops import slices, text_buffers, word_bounds, word_hashes
-from tracewell.llm.shared import written
+from tracewell.llm.shared import salted_join, written
 
-MIN_LETTERS = 4
 SMOOTH = 0.5
 GENERALISE = 0.8
 REMOVE = 0.95
@@ -107,8 +108,7 @@ def terms_in(text: str, spans: list[tuple[str, int, int, str]]) -> set[str]:
     cut = np.zeros(len(words), bool)
     for a, b in taken:
         cut[np.searchsorted(highs, a, "right") : np.searchsorted(lows, b)] = True
-    found = (text[words[k][0] : words[k][1]] for k in np.flatnonzero(~cut).tolist())
-    return {lower(w) for w in found if len(w) >= MIN_LETTERS and w.isalpha()}
+    return {lower(text[words[k][0] : words[k][1]]) for k in np.flatnonzero(~cut).tolist()}
 
 
 def lower(word: str) -> str:
@@ -168,9 +168,7 @@ def word_frequencies(docs: DataFrame) -> DataFrame:
             for i, j in slices(offsets):
                 part = data[offsets[i] : offsets[j]]
                 start, stop, row = word_bounds(part, offsets[i : j + 1] - offsets[i])
-                long = stop - start >= MIN_LETTERS
-                h = word_hashes(part, start, stop)[long]
-                row = row[long]
+                h = word_hashes(part, start, stop)
                 order = np.argsort(h, kind="stable")  # rows stay ascending within a word
                 h, row = h[order], row[order]
                 new = np.ones(len(h), bool)
@@ -186,8 +184,9 @@ def disclosures(docs: DataFrame, smooth: float = SMOOTH, generalise: float = GEN
     """term_key, disclosure (of the entity it tells most about), action for the terms beyond the threshold."""
     n = docs.count()
     pairs = written(observed(docs), "joint")
-    per_entity = pairs.filter("term_key is null").select("entity", F.col("joint").alias("df_entity")).filter(F.col("df_entity") < n)
-    joint = pairs.filter("term_key is not null").join(per_entity, "entity")
+    per_entity = pairs.groupBy("entity").agg(F.max(F.when(F.col("term_key").isNull(), F.col("joint"))).alias("df_entity"), F.count("term_key").alias("n_terms"))
+    per_entity = written(per_entity.filter((F.col("df_entity") < n) & (F.col("n_terms") > 0)), "entities")
+    joint = salted_join(pairs.filter("term_key is not null"), per_entity, ["entity"], "n_terms")
     # at equal frequency of the entity, more joint documents disclose more
     joint = written(joint.groupBy("term_key", "df_entity").agg(F.max("joint").alias("joint")), "rates")
     df = word_frequencies(docs).join(joint.select("term_key").distinct(), "term_key", "left_semi")
@@ -197,8 +196,16 @@ def disclosures(docs: DataFrame, smooth: float = SMOOTH, generalise: float = GEN
     return rated.withColumn("action", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise"))
 
 
-def _marker(tables):
-    """mapInArrow function: the rows again, with base spans and this group's terms."""
+def covering(spans: list[tuple[int, int]], start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Which of the ranges overlap any span."""
+    spans = sorted(spans)
+    lows, ends = np.array([a for a, _ in spans]), np.maximum.accumulate(np.array([b for _, b in spans]))
+    before = np.searchsorted(lows, stop) - 1
+    return (before >= 0) & (ends[before] > start)
+
+
+def _marker(tables, last: bool):
+    """mapInArrow function: the rows again, with base spans and this group's terms; the last one sanitises the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, removed = tables.value
@@ -220,16 +227,27 @@ def _marker(tables):
                 hit = np.flatnonzero(keys[k] == h)
                 points = np.append(0, np.cumsum((part & 0xC0) != 0x80))  # code points before each byte
                 first = points[at[row[hit]]]
-                for r, a, b, gone in zip(row[hit].tolist(), (points[start[hit]] - first).tolist(), (points[stop[hit]] - first).tolist(), removed[k[hit]].tolist(), strict=True):
-                    if not any(x["start"] < b and a < x["stop"] for x in base[i + r]):
-                        terms[i + r].append({"start": a, "stop": b, "action": "remove" if gone else "generalise"})
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(base, base_type), pa.array(terms, term_type)], names=["doc_id", "text", "base", "terms"])
+                a, b, gone = points[start[hit]] - first, points[stop[hit]] - first, removed[k[hit]]
+                cuts = np.append(np.flatnonzero(np.diff(row[hit], prepend=-1)), len(hit))
+                for x, y in zip(cuts, cuts[1:], strict=False):
+                    r = i + int(row[hit[x]])
+                    free = ~covering([(z["start"], z["stop"]) for z in base[r]], a[x:y], b[x:y]) if base[r] else np.ones(y - x, bool)
+                    terms[r] += [{"start": p, "stop": q, "action": "remove" if g else "generalise"} for p, q, g in zip(a[x:y][free].tolist(), b[x:y][free].tolist(), gone[x:y][free].tolist(), strict=True)]
+            text = batch.column("text")
+            if last:
+                old = text.to_pylist()
+                new = [t if t is None or not (m or n) else apply_spans(t, [(z["kind"], z["start"], z["stop"]) for z in m], [(z["start"], z["stop"], z["action"]) for z in n]) for t, m, n in zip(old, base, terms, strict=True)]
+                text = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text, pa.array(base, base_type), pa.array(terms, term_type)], names=["doc_id", "text", "base", "terms"])
 
     return run
 
 
-def sanitise_spans(docs: DataFrame, group_keys: int = GROUP_KEYS, **thresholds) -> DataFrame:
-    """doc_id, base spans and the term spans with their action, one row per document."""
+def sanitise(docs: DataFrame, group_keys: int = GROUP_KEYS, **thresholds) -> DataFrame:
+    """doc_id, the sanitised text, base spans and the term spans with their action, one row per document.
+
+    Spans are those of the text as it was; a null text stays null.
+    """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     decided = written(disclosures(docs, **thresholds), "disclosures")
@@ -240,24 +258,38 @@ def sanitise_spans(docs: DataFrame, group_keys: int = GROUP_KEYS, **thresholds)
         keys, removed = part.column("term_key").to_numpy(), part.column("removed").to_numpy()
         order = np.argsort(keys)
         tables = spark.sparkContext.broadcast((keys[order], removed[order].astype(bool)))
-        out = out.mapInArrow(_marker(tables), f"doc_id long, text string, base {BASE}, terms {TERMS}")
-    return out.select("doc_id", "base", F.array_sort("terms").alias("terms"))
+        out = out.mapInArrow(_marker(tables, g == groups - 1), f"doc_id long, text string, base {BASE}, terms {TERMS}")
+    return out.select("doc_id", "text", "base", F.array_sort("terms").alias("terms"))
+
+
+def sanitise_spans(docs: DataFrame, group_keys: int = GROUP_KEYS, **thresholds) -> DataFrame:
+    """doc_id, base spans and the term spans with their action."""
+    return sanitise(docs, group_keys, **thresholds).drop("text")
+
+
+def class_word(term: str) -> str:
+    """What a term is generalised to."""
+    if term.isdigit():
+        return "<number>"
+    return "<code>" if any(c.isdigit() for c in term) else "<name>" if term[:1].isupper() else "<word>"
 
 
 def apply_spans(text: str, base: list[tuple[str, int, int]], terms: list[tuple[int, int, str]]) -> str:
-    """The sanitised text: base spans become their kind, terms a class word or nothing."""
-    edits = [(a, b, f"<{k}>") for k, a, b in base] + [(a, b, "<term>" if act == "generalise" else "") for a, b, act in terms]
+    """The sanitised text: base spans become their kind, terms the word of their class or nothing; of spans that overlap the first counts."""
+    edits = [(a, b, f"<{k}>") for k, a, b in base] + [(a, b, class_word(text[a:b]) if act == "generalise" else "") for a, b, act in terms]
     out, at = [], 0
     for a, b, new in sorted(edits):
         if a >= at:
             out += [text[at:a], new]
             at = b
+        elif b > at:  # what sticks out of an overlapping span must not stay either
+            at = b
     return "".join(out) + text[at:]
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data and of disclosing terms in all documents."""
-    found = sanitise_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = sanitise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     shown = lambda kind, x: F.concat_ws(":", kind, x["start"].cast("string"), x["stop"].cast("string"))
     base = F.transform("base", lambda x: shown(x["kind"], x))
     spans = F.transform(F.array_distinct(F.transform("terms", lambda x: F.struct(x["start"], x["stop"]))), lambda x: shown(F.lit("term"), x))
@@ -270,4 +302,5 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(",", F.concat(base, spans)).alias("spans"),
         acts("remove").alias("n_removed"),
         acts("generalise").alias("n_generalised"),
+        F.sha2(F.col("text"), 256).alias("sanitised_sha256"),
     )
