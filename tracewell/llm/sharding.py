@@ -8,11 +8,12 @@ floor(n/m), which is the law ``rows``: counts differ by at most one.
 
 The walk needs only the number of rows per cell, at most 65,536 numbers, so it runs on the
 driver for any input; rows find their shard by their rank in the cell. Ranks are taken within
-(cell, salt) and shifted by prefix counts, and the number of salts grows with the input, so a
-text that makes up a third of all rows is ranked by many tasks.
+(cell, salt) and shifted by prefix counts; a cell has a salt for each ``rows_per_salt`` of its rows, so a
+text that makes up a third of all rows is ranked by many tasks. Rows of a cell are ordered by a hash of id
+and text, then by both, so that a task that runs again gives the same slots; very long texts are only hashed.
 
 Defined results: a null text is empty (size 16, crc 0); null ids are ordinary keys; repeated
-rows are placed one by one; empty input gives an empty result; extra columns are ignored.
+rows are placed one by one, in any order among themselves; empty input gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def walk(counts: dict[int, int], shards: int, vnodes: int) -> list[tuple[int, in
     return out
 
 
-def shard(docs: DataFrame, shards: int = 40, vnodes: int = 64, rows_per_salt: int = 200_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, vnodes: int = 64, rows_per_salt: int = 20_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
@@ -74,14 +75,14 @@ def shard(docs: DataFrame, shards: int = 40, vnodes: int = 64, rows_per_salt: in
             (F.octet_length(text).cast("long") + 16).alias("size"),
             F.crc32(text).cast("long").alias("text_crc32"),
             F.pmod(F.xxhash64(text), F.lit(CELLS)).cast("int").alias("cell"),
-            F.xxhash64(F.col("doc_id").cast("string"), F.lit("order")).alias("tie"),
+            F.xxhash64(F.col("doc_id").cast("string"), F.lit("order"), text).alias("tie"),
         ),
         "ring",
     )
-    salts = max(1, -(-keyed.count() // rows_per_salt))
-    keyed = keyed.withColumn("salt", F.pmod("tie", F.lit(salts)).cast("int"))
+    counts = {r["cell"]: r["n"] for r in keyed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    salts = spark.createDataFrame([(c, -(-n // rows_per_salt)) for c, n in counts.items()], "cell int, salts int")  # at most 65,536 rows
+    keyed = keyed.join(F.broadcast(salts), "cell").withColumn("salt", F.pmod("tie", F.col("salts")).cast("int")).drop("salts")
     groups = keyed.groupBy("cell", "salt").agg(F.count("*").alias("n"))
-    counts = {r["cell"]: r["n"] for r in groups.groupBy("cell").agg(F.sum("n").alias("n")).collect()}
     ranges = spark.createDataFrame(walk(counts, shards, vnodes), "cell int, lo long, hi long, shard int, slot0 long")
     before = groups.select("cell", "salt", (F.sum("n").over(Window.partitionBy("cell").orderBy("salt")) - F.col("n")).alias("before"))
     # a piece: ranks of one (cell, salt) that go to one shard
@@ -92,7 +93,7 @@ def shard(docs: DataFrame, shards: int = 40, vnodes: int = 64, rows_per_salt: in
         .select("cell", "salt", "before", "lo", "hi", "shard", "slot0")
     )
     cuts = pieces.groupBy("cell", "salt").agg(F.first("before").alias("before"), F.array_sort(F.collect_list(F.struct("lo", "hi", "shard", "slot0"))).alias("cuts"))
-    rank = F.row_number().over(Window.partitionBy("cell", "salt").orderBy("tie", "doc_id")) - 1
+    rank = F.row_number().over(Window.partitionBy("cell", "salt").orderBy("tie", "doc_id", "text_crc32", "size")) - 1
     placed = keyed.withColumn("rank", rank).join(cuts, ["cell", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
     placed = placed.withColumn("cut", F.expr("filter(cuts, c -> c.lo <= rank and rank < c.hi)[0]"))
     return placed.select(
