@@ -24,7 +24,8 @@ for the few lines in question and at the end.
 
 Defined results: a null text stays null; rows of equal id and text are one document (they get the
 same lines); empty tables give empty results; further columns of the input are kept as
-they are; a text that loses all lines becomes empty.
+they are, but for columns named like the two counts (``names``), which these replace; a text that loses all
+lines becomes empty. Very long texts are split and joined in one row; ties of order are settled by the text's hash.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.bytesops import mix, powers, prefix_sums
-from tracewell.llm.shared import written
+from tracewell.llm.shared import salted_join, written
 
 MIN_CHARS = 16
 EDITS = 1
@@ -181,15 +182,15 @@ def removed_lines(docs: DataFrame, min_chars: int | None = None, edits: int = ED
     verified = pairs.join(mine, ["h1", "h2"]).join(other, ["e1", "e2"]).filter(F.levenshtein("s", "e", edits) >= 0)
     near = written(verified.select("h1", "h2").distinct(), "near_lines")
 
-    several = first.filter("n > 1").select("h1", "h2", "first", F.lit(False).alias("near"))
-    single = first.join(broadcast_if_small(near), ["h1", "h2"], "left_semi").select("h1", "h2", "first", F.lit(True).alias("near"))
-    rules = several.unionByName(single).groupBy("h1", "h2").agg(F.first("first").alias("first"), F.max("near").alias("near"))
-    gone = lines.select("at", "h1", "h2").join(rules, ["h1", "h2"]).filter("near or at > first")
+    several = first.filter("n > 1").select("h1", "h2", "first", "n", F.lit(False).alias("near"))
+    single = first.join(broadcast_if_small(near), ["h1", "h2"], "left_semi").select("h1", "h2", "first", "n", F.lit(True).alias("near"))
+    rules = several.unionByName(single).groupBy("h1", "h2").agg(F.first("first").alias("first"), F.max("n").alias("n"), F.max("near").alias("near"))
+    gone = salted_join(lines.select("at", "h1", "h2"), written(rules, "rules"), ["h1", "h2"], "n").filter("near or at > first")
     return gone.groupBy("at.doc_id", "at.text_hash").agg(F.collect_set("at.line").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int | None = None, edits: int = EDITS) -> DataFrame:
-    """``docs`` with the shortened text, and the columns n_lines and n_removed_lines (long).
+def dedup_lines(docs: DataFrame, min_chars: int | None = None, edits: int = EDITS, names: tuple[str, str] = ("n_lines", "n_removed_lines")) -> DataFrame:
+    """``docs`` with the shortened text, and two counts of lines, all and removed ones (long).
 
     A ``min_chars`` is the least length of all lines that may go, of exact repeats too.
     """
@@ -199,11 +200,13 @@ def dedup_lines(docs: DataFrame, min_chars: int | None = None, edits: int = EDIT
     same = keyed["doc_id"].eqNullSafe(gone["__doc"]) & (keyed["__text"] == gone["__hash"])
     both = keyed.join(gone, same, "left")
     lines = F.split("text", "\n", -1)
+    # a set difference, linear in the lines of a text
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
     n_removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
-    kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
+    kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    out = [kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    return both.select(*out, n_lines.alias("n_lines"), n_removed.alias("n_removed_lines"))
+    out = [kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return both.select(*out, n_lines.alias(names[0]), n_removed.alias(names[1]))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
