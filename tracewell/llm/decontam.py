@@ -7,14 +7,16 @@ table over blocks of B bytes says how far the search window may jump; where the
 zero, a bucket keyed by the window's outer bytes selects the patterns, and a direct comparison
 confirms them. Many stretches of text are searched in lockstep with NumPy.
 
-No shuffle takes place. Patterns travel to the executors in groups of at most
-``group_bytes`` of benchmark text; a larger benchmark means more groups, each searched in
-turn, so the broadcast has a fixed bound.
+No shuffle takes place. Patterns travel to the executors in groups of about ``group_bytes`` of
+benchmark text. One worker searches all groups in turn, for some megabytes of documents at a
+time, and holds the tables of one group only; it returns merged ranges of words and distinct items,
+never single occurrences. The driver sees one group at a time as well.
 
 Defined results: null and word-free texts and items have no words and no hits; every row of
 ``documents`` gives one row, repeated rows included; empty tables give empty results (an
-empty benchmark: no hits); extra columns are ignored; an item with a null id marks words but
-is not listed.
+empty benchmark: no hits); extra columns are ignored (columns named like the operator's own, ``WORDS``,
+``HITS`` and ``ITEMS``, are replaced); an item with a null id marks words but is not listed; items of equal id are
+one; ids of any type count as strings. A very long text is searched in one piece, in lanes.
 """
 
 from __future__ import annotations
@@ -175,38 +177,73 @@ def item_windows(rows: list, window: int) -> tuple[list[bytes], list[int], list[
             j = known.setdefault(p, len(known))
             if j == len(lengths):
                 lengths.append(n)
-                items.append([])
-            if item_id not in items[j]:
-                items[j].append(item_id)
-    return list(known), lengths, items
-
-
-WORDS, HITS = "__n_words", "__hits"
-HIT = "array<struct<start:int,stop:int,item_id:long>>"
+                items.append({})
+            items[j][item_id] = None
+    return list(known), lengths, [list(x) for x in items]
+
+
+WORDS, HITS, ITEMS = "__n_words", "__hits", "__items"
+HIT = "array<struct<start:int,stop:int>>"
+#: Bytes of text that are searched for one group after the other.
+SPAN_BYTES = 8 << 20
+
+
+class Found:
+    """What the groups find in some rows: words hit and items."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.buf, self.at, self.row = normalised(data, offsets)
+        m = len(offsets) - 1
+        self.n_words = np.bincount(self.row, minlength=m)
+        self.first = np.searchsorted(self.row, np.arange(m + 1))
+        self.change = np.zeros(len(self.at) + 1, np.int32)
+        self.items: list[dict] = [{} for _ in range(m)]
+
+    def add(self, engine: WuManber, lengths: list[int], items: list[list]) -> None:
+        got = list(engine.search(self.buf))
+        if not got:
+            return
+        place, p = np.array(got, np.int64).T
+        w = np.searchsorted(self.at, place + 1)
+        np.add.at(self.change, w, 1)
+        np.add.at(self.change, w + np.array(lengths)[p], -1)
+        for r, q in set(zip(self.row[w].tolist(), p.tolist(), strict=True)):
+            self.items[r].update(dict.fromkeys(items[q]))
+
+    def hits(self) -> list[list[dict]]:
+        """The merged ranges of words hit, by row."""
+        hit = np.cumsum(self.change[:-1]) > 0
+        out: list[list[dict]] = [[] for _ in self.items]
+        for r in np.unique(self.row[hit]).tolist():
+            own = hit[self.first[r] : self.first[r + 1]]
+            edge = np.flatnonzero(np.diff(own, prepend=False, append=False))
+            out[r] = [{"start": int(a), "stop": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
+        return out
 
 
-def _searcher(tables):
-    """mapInArrow function: the rows again, with this group's hits added."""
+def _searcher(groups: list):
+    """mapInArrow function: the rows again, with their number of words and the hits of all groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        engine, lengths, items = tables.value
-        hit_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("item_id", pa.int64())]))
+        hit_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
-            before = batch.column(HITS).to_pylist()
-            n_words = np.zeros(batch.num_rows, np.int32)
-            hits: list[list] = [x or [] for x in before]
-            for i, j in slices(offsets):
-                part = data[offsets[i] : offsets[j]]
-                buf, at, row = normalised(part, offsets[i : j + 1] - offsets[i])
-                n_words[i:j] = np.bincount(row, minlength=j - i)
-                first = np.searchsorted(row, np.arange(j - i))
-                for place, p in engine.search(buf):
-                    w = int(np.searchsorted(at, place + 1))
-                    r = int(row[w])
-                    k = w - int(first[r])
-                    hits[i + r] += [{"start": k, "stop": k + lengths[p], "item_id": x} for x in items[p]]
-            new = {WORDS: pa.array(n_words), HITS: pa.array(hits, hit_type)}
+            n_words, hits, items = [], [], []
+            for i, j in slices(offsets, SPAN_BYTES):
+                spans = [(a + i, b + i) for a, b in slices(offsets[i : j + 1] - offsets[i])]
+                found = [Found(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in spans]
+                for g in groups:
+                    engine, lengths, owners = g.value
+                    for f in found:
+                        f.add(engine, lengths, owners)
+                    if len(groups) > 1:
+                        del engine, owners
+                        vars(g).pop("_value", None)  # one group's tables at a time
+                for f in found:
+                    n_words += f.n_words.tolist()
+                    hits += f.hits()
+                    items += [sorted(k for k in x if k is not None) for x in f.items]
+            new = {WORDS: pa.array(n_words, pa.int32()), HITS: pa.array(hits, hit_type), ITEMS: pa.array(items, pa.list_(pa.string()))}
             names = batch.schema.names
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names=names)
             trim()
@@ -215,33 +252,29 @@ def _searcher(tables):
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """``docs`` with the columns __n_words and __hits, all occurrences (word range, item) of benchmark windows."""
+    """``docs`` with the columns __n_words, __hits (merged ranges of words hit) and __items (ids of items that occur, as strings)."""
     spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").filter("text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-total // group_bytes))
-    out = docs.withColumns({WORDS: F.lit(0), HITS: F.expr(f"cast(array() as {HIT})")})
-    schema = out.schema
-    for g in range(groups):
-        part = items if groups == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
+    n = max(1, -(-total // group_bytes))
+    groups = []
+    for g in range(n):
+        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == g)
         patterns, lengths, owners = item_windows([tuple(r) for r in part.collect()], window)
-        tables = spark.sparkContext.broadcast((WuManber(patterns), lengths, owners))
-        out = out.mapInArrow(_searcher(tables), schema)
-    return out
+        groups.append(spark.sparkContext.broadcast((WuManber(patterns), lengths, owners)))
+    out = docs.withColumns({WORDS: F.lit(0), HITS: F.expr(f"cast(array() as {HIT})"), ITEMS: F.expr("cast(array() as array<string>)")})
+    return out.mapInArrow(_searcher(groups), out.schema)
 
 
-def covered(hits: str = HITS) -> str:
+def covered() -> str:
     """SQL for the number of words in any of the ranges."""
-    return (
-        f"aggregate(array_sort({hits}), named_struct('n', 0L, 'to', 0), (a, x) -> named_struct("
-        "'n', a.n + greatest(0, x.stop - greatest(x.start, a.to)), 'to', greatest(a.to, x.stop)), a -> a.n)"
-    )
+    return f"aggregate({HITS}, 0L, (n, x) -> n + x.stop - x.start)"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row per document with the digest columns of its contamination."""
     found = find_windows(docs.select("doc_id", "text"), benchmark, **options).drop("text")
-    ids = found.withColumn("ids", F.expr(f"array_sort(transform(array_distinct(filter({HITS}.item_id, x -> x is not null)), x -> cast(x as string)))"))
+    ids = found.withColumnRenamed(ITEMS, "ids")
     return ids.select(
         "doc_id",
         F.col(WORDS).cast("long").alias("n_words"),
@@ -253,8 +286,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs."""
-    return find_windows(docs, benchmark, **options).filter(F.size(HITS) == 0).drop(WORDS, HITS)
+    """The rows of ``docs`` in which no benchmark window occurs, all columns as they are."""
+    clash = {c: f"__kept{c}" for c in (WORDS, HITS, ITEMS) if c in docs.columns}
+    clean = find_windows(docs.withColumnsRenamed(clash), benchmark, **options).filter(F.size(HITS) == 0).drop(WORDS, HITS, ITEMS)
+    return clean.withColumnsRenamed({v: k for k, v in clash.items()})
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
