@@ -26,7 +26,7 @@ def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     rows = df.collect()
     if name not in ORACLE:
-        assert df.columns
+        assert rows or name == "document_speakers"  # the invented texts have no quotations
         return
     want = duck.execute(ORACLE[name]).fetchall()
     cols = [d[0] for d in duck.description]
@@ -40,37 +40,3 @@ def test_query(spark, duck, name):
 
 def test_flagship(spark):
     assert FLAGSHIP(spark, SF).columns
-
-
-def edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-def test_nearest_spelling(spark):
-    turns = [
-        (1, "user", "Langenharm und Himbeere, Lengenhurm"),
-        (1, "assistant", "Langenhorn mag Himbeere. Äpfelsaft Ölfässer"),
-        (1, "user", "Öltässer"),
-        (2, "assistant", "Langenhorn"),
-        (2, "user", None),
-        (3, "system", "Langenhorn"),
-    ]
-    rows = spark.createDataFrame(turns, "conv_id long, role string, text string")
-    from unittest.mock import patch
-
-    from tracewell import queries
-
-    with patch.object(queries, "table", lambda *_: rows):
-        got = sorted(tuple(r) for r in queries.nearest_spelling(spark, "").select("pair_id", "name", "nearest", "status").collect())
-    source = ["Langenharm", "Himbeere", "Lengenhurm", "Öltässer"]
-    want = []
-    for pair, names, known in ((1, ["Langenhorn", "Äpfelsaft", "Ölfässer"], source), (2, ["Langenhorn"], [])):
-        for name in names:
-            near = min(((edits(name.lower(), s.lower()), len(s), s) for s in known if edits(name.lower(), s.lower()) <= 2), default=None)
-            want.append((pair, name, near and near[2], "konflikt" if near else "unbelegt"))
-    assert got == sorted(want, key=str)

@@ -27,13 +27,18 @@ CONNECTIVES = words(
     """deshalb deswegen daher darum somit folglich infolgedessen weshalb außerdem zudem ferner ebenso gleichzeitig zugleich
     aber doch jedoch allerdings dennoch trotzdem stattdessen hingegen wohingegen sondern während weil da obwohl obgleich wenngleich"""
 )
+# fixed values
 AFTER_UND = words("zwar das dies damit dabei dann so")
+# fixed values
 AFTER_NEGATION = words("weil sondern denn da")
+# fixed values
 NEGATIONS = words("nicht nichts kein keine keinen keinem keiner keines nie niemals keineswegs nirgends weder")
+# fixed values
 PREPOSITIONS = words(
     """unter über mit ohne für von bei nach vor aus seit trotz wegen in an auf zu im am beim zum zur gegen um durch neben
     zwischen statt samt laut gemäß entlang innerhalb"""
 )
+# fixed values
 ANAPHORA = words(
     """sie ihn ihm ihr ihnen ihre ihrer ihres ihrem er es dies diese dieser dieses diesem diesen dabei dadurch damit dafür
     davon daran darauf deren dessen derselbe dieselbe letzterer letztere"""
@@ -42,15 +47,18 @@ ANAPHORA = words(
 ONES = "null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn".split()
 TENS = "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig".split()
 ARTICLES = words("ein eine einen einem einer eines")
+# fixed values
 SCALES = {"million": 6, "millionen": 6, "mio": 6, "milliarde": 9, "milliarden": 9, "mrd": 9, "tausend": 3, "tsd": 3}
 MONEY = words("euro euros eur €")
 PERCENT = words("prozent %")
+# fixed values
 UNITS = {
     "jährig": "Jahre", "jahr": "Jahre", "jahre": "Jahre", "jahren": "Jahre", "tägig": "Tage", "stündig": "Stunden",
     "minütig": "Minuten", "monatig": "Monate", "wöchig": "Wochen", "monat": "Monate", "tag": "Tage", "stunde": "Stunden",
     "woche": "Wochen", "hektar": "Hektar", "köpfig": "Personen", "stellig": "Stellen", "stöckig": "Stockwerke",
     "spurig": "Spuren", "teilig": "Teile", "prozentig": "%",
 }
+# fixed values
 ADJECTIVE_ENDINGS = ("er", "es", "en", "em", "e", "")
 # fixed values: names
 TITLES = words(
@@ -70,6 +78,20 @@ NO_NAMES = words(
     juli august september oktober november dezember montag dienstag mittwoch donnerstag freitag samstag sonntag morgen
     abend gefahr vergleich höhe sanierung"""
 )
+# fixed values
 ENDINGS = words("e en n s es er ern em ns in innen nen ung ungen um a as os us") | {""}
+# fixed values
 DERIVATIONS = words("er ner ler aner ianer isch ische ischer ischen isches sche scher schen")
+# fixed values
 NEGATION_PATTERN = r"\b(nicht|nichts|kein\w*|nie|niemals|niemand|ohne|weder|kaum|nirgend\w*|aufgehoben|abgesagt|gestrichen)\b"
+# fixed values: words that are no finite verb between a quotation and its speaker
+NO_VERBS = words(
+    """der die das den dem des ein eine einen einem einer eines welche welcher welches dessen deren sein seine ihr ihre diese
+    dieser dieses und oder aber doch jedoch sondern also zwar denn wenn weil dass ob als wie wo während obwohl damit sobald
+    nachdem bevor falls in im an am auf für mit von vom bei beim nach über unter vor seit bis durch ohne gegen um zu zur zum
+    aus neben trotz nicht auch noch schon nur sehr immer dort hier dann darum deshalb dabei etwa rund"""
+)
+# fixed values: the flags that labels name
+FLAGS = (
+    "zahlkonflikt zahl_unbelegt ort_konflikt kuerzel_konflikt ident_unbelegt wortlaut_abweichung widerspruch_wortgleich bedeutung_verschoben nli_widerspruch"
+).split()

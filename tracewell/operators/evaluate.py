@@ -94,8 +94,63 @@ def compared(runs: DataFrame, baseline: str, values: list[str]) -> DataFrame:
     return both.select("run", *values, *((F.col(v) - F.col(f"__{v}")).alias(f"d_{v}") for v in values))
 
 
-def merged(drafts: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """key, quality, reviewed: the draft of every row, or the old label where that was reviewed."""
-    both = drafts.join(labels, key, "left")
-    reviewed = F.coalesce("reviewed", F.lit(False))
-    return both.select(key, F.when(reviewed, F.col("old")).otherwise(F.col("draft")).alias("quality"), reviewed.alias("reviewed"))
+def placed(claims: DataFrame, entries: DataFrame) -> DataFrame:
+    """Adds ``satz``: the label entry (pair_id, satz, start) that a claim (pair_id, ..., start) begins in, or the last before it.
+
+    Entries of a pair are in order and do not overlap, so one window over both replaces the range join.
+    """
+    names = [c for c in claims.columns if c not in ("pair_id", "start")]
+    rows = claims.select("pair_id", "start", F.lit(1).alias("__k"), F.struct(*names).alias("__row"), F.lit(None).cast(entries.schema["satz"].dataType).alias("satz"))
+    marks = entries.select("pair_id", "start", F.lit(0).alias("__k"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), "satz")
+    before = Window.partitionBy("pair_id").orderBy("start", "__k").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(marks).withColumn("satz", F.last("satz", ignorenulls=True).over(before)).filter("__k = 1")
+    return both.select("pair_id", "start", "__row.*", "satz")
+
+
+def matched_runs(runs: DataFrame, labels: DataFrame, split: str) -> DataFrame:
+    """Runs (hash, ...) with the label's ``gold`` id and status: matched, other_split (labelled, but held back) or unmatched."""
+    one = labels.groupBy("hash").agg(F.min(F.struct((F.col("split") != split).alias("other"), "gold")).alias("__x"))
+    both = runs.join(one, "hash", "left")
+    status = F.when(F.col("__x").isNull(), "unmatched").when(F.col("__x.other"), "other_split").otherwise("matched")
+    return both.withColumn("gold", F.when(status == "matched", F.col("__x.gold"))).withColumn("status", status).drop("__x")
+
+
+def derived_relation(needed: Column, reviewed: Column, relation: Column) -> Column:
+    """The relation that an entry's needed sources imply, until it is reviewed."""
+    n = F.size(needed)
+    return F.when(reviewed, relation).when(n == 0, "keine_quelle").when(n == 1, "direkt").otherwise("aggregiert")
+
+
+def drafted(claims: DataFrame, entries: DataFrame) -> DataFrame:
+    """Label drafts: one entry per transcript sentence (pair_id, satz, ...) from the claims (pair_id, satz, ci, relation, sources, flags) in it.
+
+    ``sources`` has (si, role). Needed are the sources that are primary anywhere, admissible the redundant rest; the
+    gravest relation and all flags but the uncertain one are expected; ``mixed`` tells of several relations.
+    """
+    rank = F.array_position(F.array(*map(F.lit, SEVERITY)), F.col("relation"))
+    of = lambda redundant: F.transform(F.filter("sources", lambda s: (s["role"] == "redundant") == F.lit(redundant)), lambda s: s["si"])
+    rows = claims.select("pair_id", "satz", "ci", "relation", rank.alias("rank"), of(False).alias("needed"), of(True).alias("allowed"), "flags")
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    out = rows.groupBy("pair_id", "satz").agg(
+        every("needed").alias("needed"), every("allowed").alias("allowed"), F.max_by("relation", "rank").alias("relation"), every("flags").alias("flags"),
+        F.array_sort(F.collect_list("ci")).alias("claims"), (F.countDistinct("relation") > 1).alias("mixed"),
+    )
+    out = out.withColumns({"allowed": F.array_except("allowed", "needed"), "flags": F.array_remove("flags", "signale_uneinig")})
+    both = entries.join(out, ["pair_id", "satz"], "left")
+    empty = {c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("needed", "allowed", "flags", "claims")}
+    return both.withColumns({**empty, "relation": F.coalesce("relation", F.lit("keine_quelle")), "mixed": F.coalesce("mixed", F.lit(False)), "reviewed": F.lit(False)})
+
+
+def merged(drafts: DataFrame, labels: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+    """Drafts (key, hash, reviewed, values) with the reviewed old labels kept, and ``changed``.
+
+    Where a text's hash has changed the old labels' places do not fit any more: all of them are kept as they are and
+    ``changed`` is true.
+    """
+    old = labels.select(*key, *(F.col(c).alias(f"__{c}") for c in ("hash", "reviewed", *values)))
+    both = drafts.join(old, key, "left")
+    changed = F.coalesce(F.col("__hash") != F.col("hash"), F.lit(False))
+    keep = F.coalesce(F.col("__reviewed"), F.lit(False)) | changed
+    kept = {c: F.when(keep, F.col(f"__{c}")).otherwise(F.col(c)) for c in values}
+    out = both.withColumns({"__keep": keep, "__changed": changed}).withColumns(kept)
+    return out.select(*key, F.when(F.col("__changed"), F.col("__hash")).otherwise(F.col("hash")).alias("hash"), F.coalesce("__reviewed", "reviewed").alias("reviewed"), *values, F.col("__changed").alias("changed"))
