@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tracewell.plans.align import align
@@ -14,12 +15,12 @@ from tracewell.plans.align import align
 
 def align_stream(rows: DataFrame, target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Keeps the rows (pair_id, side, ord, text) and the decided claims of each batch's pairs under ``target``."""
-    schema = rows.schema
+    schema = T.StructType([*rows.schema.fields, T.StructField("epoch", T.LongType())])
 
     def batch(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
         df.write.mode("overwrite").parquet(f"{target}/turns/epoch={epoch}")
-        every = spark.read.schema(schema.add("epoch", "long")).parquet(f"{target}/turns").filter(F.col("epoch") <= epoch)
+        every = spark.read.schema(schema).parquet(f"{target}/turns").filter(F.col("epoch") <= epoch)
         touched = every.filter(F.col("epoch") == epoch).select("pair_id").distinct()
         known = every.drop("epoch").join(touched, "pair_id", "left_semi").distinct()
         align(known).write.mode("overwrite").parquet(f"{target}/claims/epoch={epoch}")
