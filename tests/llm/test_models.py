@@ -94,6 +94,14 @@ def test_links(spark, monkeypatch):
     assert hnsw.near_vectors(d.limit(0)).count() == 0
 
 
+def test_double_vectors(spark):
+    """Doubles far beyond floats, repeated and null ids, hot copies."""
+    rows = [(1, [1e39, 2e39]), (2, [1e39, 2e39]), (3, [1e-46, 2e-46]), (4, [-1.0, 0.0]), (4, [-1.0, 0.0]), (None, [-1.0, 0.0]), (5, [float("nan"), 1.0]), (6, [0.0, 0.0]), (7, None), (8, [1.0])]
+    got = hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 2, 4), (4, 2, 4), (None, 2, 4), (5, 0, 5), (6, 0, 6), (7, 0, 7), (8, 0, 8)]
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_recall_on_table(spark):
     sf = "/root/testdata/sf0.01"
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
