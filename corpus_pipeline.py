@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import chosenpath, decontam, langid, lines, pieces
-from tracewell.llm.shared import written
+from tracewell.llm.shared import forget, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,18 +21,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated and nearly repeated lines go; so do documents that lose all their text by it."""
-    out = lines.dedup_lines(docs.drop("n_lines", "n_removed_lines"))
-    out = out.filter((F.col("n_removed_lines") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
-    out = out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
+    n, removed = (next(c for c in (name + "_" * k for k in range(len(docs.columns) + 1)) if c not in docs.columns) for name in ("__n", "__removed"))
+    out = lines.dedup_lines(docs, names=(n, removed))
+    out = out.filter((F.col(removed) == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
     return out.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram join stays, that of the smallest id."""
-    kept = chosenpath.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "__kept")
-    both = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return both.dropDuplicates(["doc_id", "text"])
+    """One document of each component of the n-gram join stays, that of the smallest id; a document is an id and a text."""
+    kept = chosenpath.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.expr(chosenpath.TEXT_HASH).eqNullSafe(F.col("__hash"))
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +61,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each returns is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            forget(spark, before)
+        before = docs
     return docs
