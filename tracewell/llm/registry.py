@@ -9,6 +9,7 @@ from tracewell.llm.hnsw import op2_embedding_dedup
 from tracewell.llm.langid import op7_language_id
 from tracewell.llm.lines import op8_line_dedup
 from tracewell.llm.lmscore import op1_lm_scoring
+from tracewell.llm.oracle import SQL
 from tracewell.llm.pieces import op9_pieces
 from tracewell.llm.pii import op3_pii
 from tracewell.llm.sharding import op4_sharding
@@ -27,4 +28,4 @@ _OPERATORS = (
     op10_decontamination,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS} | {"pipeline": corpus_pipeline.run}
-ORACLE = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+ORACLE = SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
