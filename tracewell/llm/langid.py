@@ -126,6 +126,8 @@ class Model:
         self.table = dense.ravel()
         self.weight = np.array([np.log2(max(2, len(texts[k]))) for k in self.langs])
         self.empty, self.start = (np.array(x, np.int32)[:, None] for x in (self.empty, self.start))
+        first = dense[self.start[:, 0]]
+        self.again = np.where(first == 0, self.empty, first).astype(np.int32).reshape(len(self.langs), self.width)
         self._codes = None
 
     def codes(self) -> np.ndarray:
@@ -154,28 +156,27 @@ class Model:
         s = np.maximum(s[keep], 0)
         return s, np.bincount(row[keep], minlength=len(low)), letters
 
-    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """The next state of every lane (languages x lanes) for its symbol; 0 where there is none."""
-        rare = c >= self.width
-        if not rare.any():
-            return self.table[state * np.int32(self.width) + c]
-        out = self.table[state * np.int32(self.width) + np.where(rare, 0, c)]
-        at = np.flatnonzero(rare)
-        key = state[:, at].astype(np.int64) * (self.other + 1) + c[at]
-        if len(self.keys):
-            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            out[:, at] = np.where(self.keys[k] == key, self.goals[k], 0)
-        else:
-            out[:, at] = 0
-        return out
+    def by_key(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The next states for letters that are not in the table; 0 where there is none."""
+        if not len(self.keys):
+            return np.zeros(state.shape, np.int32)
+        key = state.astype(np.int64) * (self.other + 1) + c
+        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[k] == key, self.goals[k], 0).astype(np.int32)
 
     def move(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The state after each lane's symbol, and whether the symbol begins a phrase."""
-        after = self.step(state, c)
+        """The state of every lane (languages x lanes) after its symbol, and whether the symbol begins a phrase."""
+        rare = np.flatnonzero(c >= self.width)
+        known = c if not len(rare) else np.where(c >= self.width, 0, c)
+        after = self.table[state * np.int32(self.width) + known]
+        if len(rare):
+            after[:, rare] = self.by_key(state[:, rare], c[rare])
         new = after == 0
-        if new.any():
-            again = self.step(np.broadcast_to(self.start, state.shape), c)
-            after = np.where(new, np.where(again == 0, self.empty, again), after)
+        again = self.again[:, known]
+        if len(rare):
+            first = self.by_key(np.broadcast_to(self.start, (len(self.langs), len(rare))), c[rare])
+            again[:, rare] = np.where(first == 0, self.empty, first)
+        np.copyto(after, again, where=new)
         return after, new
 
     def phrases(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -198,28 +199,37 @@ class Model:
         self._carry(symbols, begins, start, length, owner, end, out)
         return out
 
-    def _carry(self, symbols, begins, start, length, owner, end, out) -> None:
-        """Corrects ``out`` for phrases that run over cuts: piece after piece, all texts at once."""
-        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-        for k in range(1, int(place.max(initial=0)) + 1):
-            at = np.flatnonzero(place == k)
-            state = end[:, at - 1].copy()
-            # texts whose parse has not met the piece's yet, in any language
-            apart = np.ones(state.shape, bool)
-            lanes = np.arange(len(at))
+    def _carry(self, symbols, begins, start, length, owner, guess, out) -> None:
+        """Corrects ``out`` for phrases that run over cuts.
+
+        All pieces go on from the end (``guess``) of the one before at once; those that never meet their own parse
+        have another end, so the pieces after them are done again.
+        """
+        end = guess.copy()
+        more = np.zeros(guess.shape, np.int64)
+        todo = np.flatnonzero(np.diff(owner, prepend=-1) == 0)
+        while len(todo):
+            state = end[:, todo - 1]
+            more[:, todo] = 0
+            apart = np.ones(state.shape, bool)  # the parse has not met the piece's own yet
+            lanes = np.arange(len(todo))
             for t in range(PIECE):
-                lanes = lanes[(length[at[lanes]] > t) & apart[:, lanes].any(0)]
+                lanes = lanes[(length[todo[lanes]] > t) & apart[:, lanes].any(0)]
                 if not len(lanes):
                     break
-                where = start[at[lanes]] + t
+                where = start[todo[lanes]] + t
                 after, new = self.move(state[:, lanes], symbols[where])
                 state[:, lanes] = after
-                guess = begins[:, where]
-                still = apart[:, lanes]
-                out[:, owner[at[lanes]]] += still * (new.astype(np.int64) - guess)
-                apart[:, lanes] = still & ~(new & guess)
-            # where they never met, the true parse goes on
-            end[:, at] = np.where(apart, state, end[:, at])
+                own, still = begins[:, where], apart[:, lanes]
+                more[:, todo[lanes]] += still * (new.astype(np.int8) - own.astype(np.int8))
+                apart[:, lanes] = still & ~(new & own)
+            now = np.where(apart, state, guess[:, todo])
+            changed = todo[(now != end[:, todo]).any(0)]
+            end[:, todo] = now
+            todo = changed[changed + 1 < len(owner)] + 1
+            todo = todo[owner[todo] == owner[todo - 1]]
+        for i in range(len(self.langs)):
+            out[i] += np.bincount(owner, weights=more[i], minlength=out.shape[1]).astype(np.int64)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         symbols, sizes, letters = self.symbols(texts)
