@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.bytesops import mix, shingle_hashes, slices, text_buffers, word_bounds, word_hashes
 from tracewell.llm.components import components
-from tracewell.llm.shared import salted_join, written
+from tracewell.llm.shared import only, salted_join, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -418,18 +418,22 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESH
     included. component_id is the smallest id reachable by links; kept marks one row of each
     component (of rows with equal id and text all are marked), and every row without words.
     """
+    return only(docs.sparkSession, lambda: _near_duplicates(docs, n, threshold, recall), "near_duplicates")
+
+
+def _near_duplicates(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    spark = docs.sparkSession
     rows = written(sketches(docs, n, root_tokens(threshold, recall)), "sketches")
     filled = rows.filter("n_shingles > 0")
     named = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     classes = filled.groupBy("cls").agg(F.min(named).alias("rep"), F.count("*").alias("copies"), F.min(F.struct("n_shingles", "sketch", "nodes")).alias("x"))
     classes = classes.select("cls", F.col("rep.doc_id").alias("class_id"), F.col("rep.text_hash").alias("text_hash"), "copies", "x.n_shingles", "x.sketch", "x.nodes")
     classes = written(classes, "classes")
-    clusters = components(candidates(classes, threshold))
+    clusters = components(only(spark, lambda: candidates(classes, threshold), "candidates"))
     clusters = clusters.select(F.col("id").alias("cls"), F.col("component").alias("cluster"))
     picked = written(classes.join(clusters, "cls").select("class_id", "text_hash", "cls", "copies", "cluster", "n_shingles"), "picked")
     sizes = picked.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles"))
-    sets = written(shingle_sets(docs, picked, n), "cluster_sets")
-    links = written(exact_links(sets.join(sizes, "cluster"), threshold), "links")
+    links = only(spark, lambda: exact_links(written(shingle_sets(docs, picked, n), "cluster_sets").join(sizes, "cluster"), threshold), "links")
     counted = links.groupBy("cls").agg(F.sum("links").alias("links"))
     joined = components(links.filter("cls != other").select(F.col("cls").alias("u"), F.col("other").alias("v")))
     named = classes.select("cls", "class_id", "text_hash", "copies").join(counted, "cls", "left").join(joined.withColumnRenamed("id", "cls"), "cls", "left")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.bytesops import mix
 from tracewell.llm.components import components
-from tracewell.llm.shared import salted_join, written
+from tracewell.llm.shared import only, salted_join, written
 
 COSINE = 0.95
 SHARD = 16_384
@@ -346,6 +346,10 @@ def search(least: float, kind: type):
 
 def near_vectors(df: DataFrame, cosine: float = COSINE, shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
+    return only(df.sparkSession, lambda: _near_vectors(df, cosine, shard, queries), "near_vectors")
+
+
+def _near_vectors(df: DataFrame, cosine: float, shard: int, queries: int) -> DataFrame:
     kind = precision(df)
     rows = written(vectors(df), "vectors")
     classes = rows.filter("dim > 0").groupBy("dim", "cls").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("raw").alias("raw"))

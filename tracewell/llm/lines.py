@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.bytesops import mix, powers, prefix_sums
-from tracewell.llm.shared import salted_join, written
+from tracewell.llm.shared import only, salted_join, written
 
 MIN_CHARS = 16
 EDITS = 1
@@ -194,7 +194,7 @@ def dedup_lines(docs: DataFrame, min_chars: int | None = None, edits: int = EDIT
 
     A ``min_chars`` is the least length of all lines that may go, of exact repeats too.
     """
-    gone = removed_lines(docs, min_chars, edits)
+    gone = only(docs.sparkSession, lambda: removed_lines(docs, min_chars, edits), "removed_lines")
     gone = gone.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("gone").alias("__gone"))
     keyed = docs.withColumn("__text", F.expr(TEXT_HASH))
     same = keyed["doc_id"].eqNullSafe(gone["__doc"]) & (keyed["__text"] == gone["__hash"])

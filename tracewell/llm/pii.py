@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.bytesops import slices, text_buffers, word_bounds, word_hashes
-from tracewell.llm.shared import salted_join, written
+from tracewell.llm.shared import only, salted_join, written
 
 SMOOTH = 0.5
 GENERALISE = 0.8
@@ -250,7 +250,7 @@ def sanitise(docs: DataFrame, group_keys: int = GROUP_KEYS, **thresholds) -> Dat
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    decided = written(disclosures(docs, **thresholds), "disclosures")
+    decided = only(spark, lambda: disclosures(docs, **thresholds), "disclosures")
     groups = max(1, -(-decided.count() // group_keys))
     out = docs.select("doc_id", "text", F.expr(f"cast(array() as {BASE}) base"), F.expr(f"cast(array() as {TERMS}) terms"))
     for g in range(groups):

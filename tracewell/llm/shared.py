@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,21 +30,42 @@ def table_path(spark: SparkSession, name: str) -> str:
     return place
 
 
+#: Tables written since the innermost ``only`` began.
+_made: list[list[str]] = [[]]
+
+
+def only(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, as a written table; the tables written on the way are deleted."""
+    _made.append([])
+    try:
+        out = make()
+        path = table_path(spark, name)
+        out.write.parquet(path)
+    finally:
+        for place in _made.pop():
+            _delete(spark, place)
+    _made[-1].append(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = table_path(spark, name)
     df.write.parquet(path)
+    _made[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table made by ``written`` that nothing will read again."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
+    for place in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(spark, place)
 
 
 #: A key is hot beyond this share of all rows, so there are fewer hot keys than this number.
