@@ -70,7 +70,8 @@ OP1 = f"""WITH d AS ({_words("documents", "doc_id")}), g AS (SELECT doc_id FROM
 
 #: Texts as hexadecimal digits: two a byte.
 OP5 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-    w AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)), m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+    x AS (SELECT doc_id, n, h, unnest(range(0, (n - 50) // 1000 + 1)) * 1000 AS base FROM d WHERE n >= 50), c AS (SELECT doc_id, n, base, substr(h, 2 * base + 1, 2098) AS h FROM x),
+    w AS (SELECT doc_id, base + i AS i, hash(substr(h, 2 * i + 1, 100)) AS s FROM (SELECT doc_id, base, h, unnest(range(0, least(1000, n - 49 - base))) AS i FROM c)), m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
     g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM w JOIN m USING (s) WHERE doc_id > first),
     r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g), p AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY doc_id, run),
     q AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM p),
