@@ -80,6 +80,21 @@ def test_long_text_is_cut_into_chunks(spark, monkeypatch):
     assert sorted(got, key=str) == brute(docs, 50)
 
 
+def test_buckets_get_equal_shares():
+    """Anchors are k-grams of least hash; cut by that hash, the first of 16 buckets got three quarters of them."""
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    rows = pa.table({"block": [0] * 40, "doc_id": list(range(40)), "text": ["".join(rnd.choices("abcdefgh ", k=5000)) for _ in range(40)]})
+    p = suffixes.Passes(50, 16)
+    sent = p.ask_anchors(0, rows, [])
+    sizes = [len(m[3]) for m in sent]
+    assert len(sizes) == 16 and max(sizes) < 1.3 * min(sizes)
+    asked = p.ask_units(0, rows, [(b, 0, 1, a, None, None) for b, _, _, a, _, _ in sent])
+    sizes = [len(m[4]) for m in asked]
+    assert len(sizes) == 16 and max(sizes) < 1.3 * min(sizes)
+
+
 def test_query_on_table(spark):
     sf = "/root/testdata/sf0.001"
     got = sorted((tuple(r) for r in suffixes.op5_suffix_dedup(spark, sf).collect()), key=str)

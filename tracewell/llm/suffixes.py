@@ -41,7 +41,7 @@ _LAST = np.iinfo(np.int64).max
 
 @dataclass
 class Units:
-    """The anchors of a block: k-gram, unit hash, first and last window, row."""
+    """The anchors of a block: hash of the k-gram, unit hash, first and last window, row."""
 
     gram: np.ndarray
     unit: np.ndarray
@@ -101,7 +101,8 @@ def _analyse(buf, base, offsets, row0, threshold, k, w):
     a = a[heads]
     shape = (a - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (last - first).astype(np.uint64)
     unit = mix(raw_span_hash(sums, first, last + threshold) + mix(shape))
-    return gram[a], unit, first + base, last + base, r[heads] + row0
+    # anchors are least hashes, so nearly all are small numbers: mixed again, they spread evenly over the buckets
+    return mix(gram[a]), unit, first + base, last + base, r[heads] + row0
 
 
 def windows(data: np.ndarray, first: np.ndarray, last: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
