@@ -102,6 +102,16 @@ def test_double_vectors(spark):
     assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_many_blocks_pass_by_a_graph(spark):
+    """One query a block: copies of the graphs for all blocks together (6 GB) are more than the heap holds."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 3072))
+    x[1::2] = x[::2] + 0.1 * rng.normal(size=(250, 3072))  # links are pairs of an even and the next id
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = hnsw.near_vectors(d, queries=1).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(i, 1, i - i % 2, i % 2 == 0) for i in range(500)]
+
+
 def test_recall_on_table(spark):
     sf = "/root/testdata/sf0.01"
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()

@@ -3,7 +3,7 @@
 Vectors of equal components are one class. Classes are dealt to shards by hash; every shard
 builds a hierarchical graph (levels drawn geometrically, neighbours chosen so that they
 are nearer to the new vector than to each other). Every class then queries every shard in
-blocks. A beam is widened, query by query, while it is full of links, and for a whole block
+blocks, which pass by a graph one after the other. A beam is widened, query by query, while it is full of links, and for a whole block
 while an audit of ``AUDIT`` of its queries against brute force in the shard finds less than
 ``RECALL`` of their true links, of all together and of one query on average; an audit that sees fewer
 than ``EVIDENCE`` links takes more queries, up to four times as many. What the beams return is verified by cosine in double precision. Tasks
@@ -11,7 +11,8 @@ return counts and a forest of links, never the pairs of a group; the forests of
 united by ``components``.
 
 Shards hold about ``SHARD`` vectors, however many there are in all, so memory is bounded; there are
-at least ``SHARDS``.
+at least ``SHARDS``. A graph is sent to one task, or, while there are few shards, to so many that
+there are about ``RUNS``; the blocks of queries are dealt to these runs.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components
 link with nothing, as do vectors of unequal lengths; repeated rows are copies of each other;
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,9 @@ COSINE = 0.95
 SHARD = 16_384
 SHARDS = 4
 QUERIES = 4096
+RUNS = 64
+#: The part of a graph's row, before those of its queries.
+GRAPH = -1
 M = 12
 WIDTH = 24
 EF = 48
@@ -313,14 +318,22 @@ def build(kind: type):
 FOUND = "cls long, links long, other long"
 
 
-def search(least: float, kind: type):
-    def run(queries: pa.Table, index: pa.Table) -> pa.Table:
-        names = ["cls", "links", "other"]
-        if not queries.num_rows or not index.num_rows:
-            return pa.Table.from_arrays([pa.array([], pa.int64())] * 3, names=names)
-        g = Graph.load(index.column("graph")[0].as_py())
-        ids, copies = np.frombuffer(index.column("ids")[0].as_py(), np.int64), np.frombuffer(index.column("copies")[0].as_py(), np.int64)
-        base = unit(np.frombuffer(index.column("raws")[0].as_py(), kind).reshape(len(ids), -1))
+@dataclass
+class Shard:
+    """A shard's graph with the classes, copies and unit vectors of its nodes."""
+
+    g: Graph
+    ids: np.ndarray
+    copies: np.ndarray
+    base: np.ndarray
+
+    @classmethod
+    def load(cls, row: pa.RecordBatch, kind: type) -> Shard:
+        ids, copies = np.frombuffer(row.column("ids")[0].as_py(), np.int64), np.frombuffer(row.column("copies")[0].as_py(), np.int64)
+        return cls(Graph.load(row.column("graph")[0].as_py()), ids, copies, unit(np.frombuffer(row.column("raws")[0].as_py(), kind).reshape(len(ids), -1)))
+
+    def found(self, queries: pa.Table, least: float, kind: type) -> pa.RecordBatch:
+        ids, copies, base = self.ids, self.copies, self.base
         queries = queries.sort_by("cls")
         own = queries.column("cls").to_numpy()
         exact = unit(matrix(queries, kind))
@@ -329,7 +342,7 @@ def search(least: float, kind: type):
         label = np.arange(len(ids))  # joined vectors of the shard have one label, the place of one of them
         edges: list[tuple[int, int]] = []
         low = least - MARGIN
-        for i, found in g.links(q, low, g.audited_width(q, low)):
+        for i, found in self.g.links(q, low, self.g.audited_width(q, low)):
             found = found[(base[found] @ exact[i] >= least) & (ids[found] != own[i])]
             if not len(found):
                 continue
@@ -339,7 +352,52 @@ def search(least: float, kind: type):
                 edges += [(labels[0], x) for x in labels[1:].tolist()]
                 label[np.isin(label, labels)] = labels[0]
         a, b = ids[[a for a, _ in edges]], ids[[b for _, b in edges]]
-        return pa.Table.from_arrays([pa.array(np.concatenate([own, a])), pa.array(np.concatenate([links, np.zeros(len(a), np.int64)])), pa.array(np.concatenate([other, b]))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([own, a])), pa.array(np.concatenate([links, np.zeros(len(a), np.int64)])), pa.array(np.concatenate([other, b]))], names=["cls", "links", "other"])
+
+
+def lent(runs: int):
+    """Every graph once for each run, one at a time: a JVM explode holds all copies of a row in its heap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                for r in range(runs):
+                    yield pa.RecordBatch.from_arrays([*row.columns, pa.array([r], pa.int32()), pa.array([GRAPH], pa.int32())], names=[*row.schema.names, "run", "part"])
+
+    return run
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], int, pa.Table]]:
+    """Consecutive rows of one (dim, shard, run) and part."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = np.stack([batch.column(n).to_numpy() for n in ("dim", "shard", "run", "part")], 1)
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+            if i == j:
+                continue
+            key = tuple(keys[i].tolist())
+            if held and key != last:
+                yield last[:3], last[3], pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield last[:3], last[3], pa.Table.from_batches(held)
+
+
+def search(least: float, kind: type):
+    """Links of rows sorted by dim, shard, run and part: a graph stays while the blocks of its run pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = at = None
+        for key, part, rows in pieces(batches):
+            if part == GRAPH:
+                shard, at = Shard.load(rows.combine_chunks().to_batches()[0], kind), key
+            elif key == at:  # a dimension need not have vectors in every shard
+                yield shard.found(rows.select(["cls", "raw"]), least, kind)
 
     return run
 
@@ -358,10 +416,14 @@ def _near_vectors(df: DataFrame, cosine: float, shard: int, queries: int) -> Dat
     shards, parts = max(SHARDS, -(-n // shard)), max(1, -(-n // queries))
     placed = classes.withColumn("shard", F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(shards)).cast("int"))
     index = placed.select("dim", "shard", "cls", "copies", "raw").groupBy("dim", "shard").applyInArrow(build(kind), "dim int, shard int, graph binary, ids binary, copies binary, raws binary")
-    index = written(index, "graphs")
-    asked = classes.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("cls", F.lit(2)), F.lit(parts)).cast("int").alias("part"), "cls", "raw")
-    offered = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    found = written(asked.groupBy("dim", "shard", "part").cogroup(offered.groupBy("dim", "shard", "part")).applyInArrow(search(cosine, kind), FOUND), "vector_links")
+    # a graph has megabytes: row groups are cut by their size, not after a hundred rows
+    index = written(index, "graphs", {"parquet.page.size.row.check.min": "1"})
+    runs = min(parts, max(1, -(-RUNS // shards)))
+    part = F.pmod(F.xxhash64("cls", F.lit(2)), F.lit(parts)).cast("int")
+    asked = classes.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(part, F.lit(runs)).alias("run"), part.alias("part"), "cls", "raw")
+    offered = index.mapInArrow(lent(runs), "dim int, shard int, graph binary, ids binary, copies binary, raws binary, run int, part int")
+    both = asked.unionByName(offered, allowMissingColumns=True).repartition("dim", "shard", "run").sortWithinPartitions("dim", "shard", "run", "part")
+    found = written(both.mapInArrow(search(cosine, kind), FOUND), "vector_links")
     counted = found.groupBy("cls").agg(F.sum("links").alias("links"))
     joined = components(found.filter("cls != other").select(F.col("cls").alias("u"), F.col("other").alias("v"))).withColumnRenamed("id", "cls")
     named = classes.select("cls", "least", "copies").join(counted, "cls", "left").join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
