@@ -51,3 +51,48 @@ def test_empty(spark, tmp_path):
     d.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_batches_are_bounded(spark):
+    """Workers get whole texts in batches of bounded bytes; a smaller limit of the user stays."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame(documents(), "doc_id long, text string, lang string, source string, n_chars long")
+    try:
+        corpus_pipeline.language(spark, docs, "")
+        found = spark.range(0, 4000, 1, 1).selectExpr("repeat('x', 5000) text").mapInArrow(sizes, "n long").collect()
+        assert max(r.n for r in found) < corpus_pipeline.BATCH_BYTES + 100_000
+        spark.conf.set(name, "200b")
+        corpus_pipeline.language(spark, docs, "")
+        assert spark.conf.get(name) == "200b"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_worker_memory_of_pieces():
+    """4 MB of text in one batch are encoded and decoded in less than 100 MB besides."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from tracewell.llm import pieces
+
+    vocab = SimpleNamespace(value=pieces.Vocabulary(pieces.default_model()))
+    texts = [" ".join(f"word{(i * 131 + k) % 40_000} of a" for k in range(150)) for i in range(2000)]
+    batch = pa.record_batch([pa.array(range(2000), pa.int64()), pa.array(texts), pa.array(range(2000), pa.int64())], names=["doc_id", "text", "row_key"])
+    tracemalloc.start()
+    try:
+        for out in pieces.decoder(vocab)(pieces.encoder(vocab, "doc_id", 1)(iter([batch]))):
+            assert out.column("decoded").equals(out.column("text"))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    print("peak", peak / 1e6)
+    assert peak < 100e6

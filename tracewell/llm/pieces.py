@@ -37,7 +37,9 @@ from tracewell.llm.bytesops import mix, owners, prefix_sums, slices, span_hash,
 #: Units of at most so many bytes keep the edges of their lattice.
 UNIT = 48
 #: Bytes encoded together, and distinct units of a lattice.
-SLICE, LATTICE = 4 << 20, 1 << 15
+SLICE, LATTICE = 2 << 20, 1 << 14
+#: Units whose paths are drawn together, and ids decoded together: what a worker holds for them is a few dozen bytes each.
+DRAWS = 1 << 16
 DIRECT = 4096
 BLANK = "▁"
 SEED = 1
@@ -141,13 +143,15 @@ class Vocabulary:
         """Piece ids of all rows and the offsets of each row's ids."""
         sizes = np.diff(offsets)
         lead = (sizes > 0).astype(np.int64)
-        row = np.repeat(np.arange(len(sizes)), sizes)
         ends = np.cumsum(sizes + lead)
         starts = ends - sizes - lead
         text = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
         if not len(text):
             return np.zeros(0, np.int32), np.zeros(len(sizes) + 1, np.int64)
-        text[np.arange(len(buf)) + np.cumsum(lead)[row]] = buf
+        own = np.ones(len(text), bool)
+        own[starts[lead > 0]] = False
+        text[own] = buf
+        del own
         u_start, u_stop = units(text, starts[lead > 0], self.cut_blanks, self.cut_lines)
         size = u_stop - u_start
         _, sample, kind = np.unique(unit_hashes(text, u_start, u_stop), return_index=True, return_inverse=True)
@@ -159,21 +163,24 @@ class Vocabulary:
         seeds = mix(keys.view(np.uint64) + mix(np.array([seed], np.uint64)))
         rows_with = np.flatnonzero(lead)
         bounds = np.append(starts[rows_with], len(text))
-        u_row = owners(u_start, bounds)
-        origin = starts[rows_with][u_row]
-        u_seed = seeds[rows_with][u_row]
+        u_row = owners(u_start, bounds).astype(np.int32)
+        begin, seeds = starts[rows_with], seeds[rows_with]
+        del u_stop
         long = size[sample] > UNIT
         for some in batches_of(size[sample], np.flatnonzero(long), self.longest):
             at = np.flatnonzero(np.isin(kind, some))
             chain = LongUnits(self, text, u_start[sample[some]], size[sample[some]])
-            chain.sample(np.searchsorted(some, kind[at]), u_start[at], size[at], origin[at], u_seed[at], chosen)
+            chain.sample(np.searchsorted(some, kind[at]), u_start[at], size[at], begin[u_row[at]], seeds[u_row[at]], chosen)
         sample = sample[~long]  # the kinds are in the order of size, so the short ones are the first
         order = np.argsort(kind)[: int((~long[kind]).sum())]
         cuts = np.searchsorted(kind[order], np.arange(0, len(sample) + LATTICE, LATTICE))
         for k in range(len(cuts) - 1):
-            some, at = sample[k * LATTICE : (k + 1) * LATTICE], order[cuts[k] : cuts[k + 1]]
-            lattice = Lattice(self, text, u_start[some], u_stop[some])
-            lattice.sample(kind[at] - k * LATTICE, u_start[at], size[at], origin[at], u_seed[at], chosen)
+            some = sample[k * LATTICE : (k + 1) * LATTICE]
+            lattice = Lattice(self, text, u_start[some], u_start[some] + size[some])
+            for i in range(cuts[k], cuts[k + 1], DRAWS):
+                at = order[i : min(i + DRAWS, cuts[k + 1])]
+                lattice.sample(kind[at] - k * LATTICE, u_start[at], size[at], begin[u_row[at]], seeds[u_row[at]], chosen)
+            del lattice
         used = np.flatnonzero(chosen >= 0)
         per_row = np.bincount(rows_with, weights=np.diff(np.searchsorted(used, bounds)), minlength=len(sizes)).astype(np.int64)
         return chosen[used], np.concatenate([[0], np.cumsum(per_row)])
@@ -185,7 +192,11 @@ class Vocabulary:
         sizes = self.sizes[ids]
         stop = np.cumsum(sizes)
         total = int(stop[-1]) if len(stop) else 0
-        out = self.blob[np.arange(total) + np.repeat(self.starts[ids] - (stop - sizes), sizes)]
+        out = np.empty(total, np.uint8)
+        for i in range(0, len(ids), DRAWS):
+            some = slice(i, i + DRAWS)
+            lo, hi = int(stop[i] - sizes[i]), int(stop[some][-1])
+            out[lo:hi] = self.blob[np.arange(lo, hi) + np.repeat(self.starts[ids[some]] - (stop[some] - sizes[some]), sizes[some])]
         bounds = np.concatenate([[0], stop])[offsets]
         filled = np.diff(bounds) > 0
         keep = np.ones(total, bool)
