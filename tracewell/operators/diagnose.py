@@ -12,6 +12,8 @@ GAINS = (0.00, 0.12, 0.16, 0.20, 0.25, 0.35, 1.01)
 RELATIVE = (0.00, 0.20, 0.35, 0.50, 0.70, 1.01)
 NEAR, FAR = 2, 8
 SATURATED = (0.05, 0.95)
+#: Parts of 0..1 in which a median is sought first.
+PARTS = 1024
 MOST_COVERED, LEAST_ENTAILED, LEAST_FORWARD = 0.80, 0.50, 0.70
 
 
@@ -55,6 +57,15 @@ def hit_rates(rows: DataFrame, by: Column) -> DataFrame:
     return out.withColumn("rate", ratio(F.col("n") - F.col("falsch"), F.col("n")))
 
 
+def all_hit_rates(rows: DataFrame, by: dict[str, Column]) -> DataFrame:
+    """``hit_rates`` of several values, with ``kind``: rows are counted by all of them together first, and so read once."""
+    verdicts = ("notwendig", "zulaessig", "falsch")
+    few = rows.groupBy(*(v.cast("string").alias(f"by_{k}") for k, v in by.items())).agg(F.count("*").alias("n"), *(F.count(F.when(F.col("verdict") == v, 1)).alias(v) for v in verdicts))
+    each = few.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"by_{k}").alias("band")) for k in by))).alias("b"), "n", *verdicts)
+    out = each.groupBy("b.kind", "b.band").agg(*(F.sum(c).alias(c) for c in ("n", *verdicts)))
+    return out.withColumn("rate", ratio(F.col("n") - F.col("falsch"), F.col("n")))
+
+
 def plain_sources(claims: DataFrame) -> DataFrame:
     """kind, n, falsch: the first, the redundant and the anchors' sources, to compare with added ones."""
     rows = claims.filter(F.size("needed") > 0)
@@ -86,10 +97,22 @@ def prefiltered(cases: DataFrame) -> DataFrame:
 def spreads(cases: DataFrame, values: list[str], by: str) -> DataFrame:
     """(by, value, n, least, median, most, saturated) of each column; the median is the element at n // 2."""
     each = cases.select(by, F.explode(F.array(*(F.struct(F.lit(v).alias("value"), F.col(v).alias("x")) for v in values))).alias("v")).select(by, "v.*").filter("x is not null")
-    w = Window.partitionBy(by, "value")
-    ranked = each.withColumn("k", F.row_number().over(w.orderBy("x")) - 1).withColumn("m", F.count("*").over(w))
+    counted = each.groupBy(by, "value", "x").agg(F.count("*").alias("c"))
+    # parts of the values in order: first the part that holds the median, then its place there
+    x = F.col("x").cast("double")
+    part = F.when(F.isnan(x), PARTS).otherwise(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) * (PARTS - 1)))
+    counted = counted.withColumn("part", part.cast("int"))
     extreme = (F.col("x") <= SATURATED[0]) | (F.col("x") >= SATURATED[1])
-    return ranked.groupBy(by, "value").agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max(F.when(F.col("k") == F.floor(F.col("m") / 2), F.col("x"))).alias("median"), F.max("x").alias("most"), F.count(F.when(extreme, 1)).alias("saturated"))
+    parts = counted.groupBy(by, "value", "part").agg(F.sum("c").alias("c"), F.min("x").alias("least"), F.max("x").alias("most"), F.sum(F.when(extreme, F.col("c")).otherwise(0)).alias("saturated"))
+    group = Window.partitionBy(by, "value")
+    parts = parts.withColumn("upto", F.sum("c").over(group.orderBy("part"))).withColumn("n", F.sum("c").over(group))
+    half = F.floor(F.col("n") / 2)
+    held = parts.filter((F.col("upto") > half) & (F.col("upto") - F.col("c") <= half)).select(F.col(by).alias("__by"), F.col("value").alias("__value"), F.col("part").alias("__part"), (half - F.col("upto") + F.col("c")).alias("k"))
+    same = lambda *names: [F.col(c).eqNullSafe(F.col(f"__{n}")) for c, n in zip((by, "value", "part"), names)]
+    inside = counted.join(F.broadcast(held), same("by", "value", "part")).withColumn("upto", F.sum("c").over(group.orderBy("x")))
+    median = inside.filter((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("c") <= F.col("k"))).select("__by", "__value", F.col("x").alias("median"))
+    out = parts.groupBy(by, "value").agg(F.sum("c").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("saturated").alias("saturated"))
+    return out.join(F.broadcast(median), same("by", "value")).drop("__by", "__value")
 
 
 def gap(cases: DataFrame) -> DataFrame:
